@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanwright.plans import core
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = [core.p2_found, core.p4_found, core.p4_zones, core.p6_found]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
