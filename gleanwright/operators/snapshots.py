@@ -117,17 +117,17 @@ def snapshot_changes(rows: DataFrame, stream: str, observed: str, delivered: str
                 part = batch.iloc[a:b]
                 this = (part["stream_id"].iat[0], part["block"].iat[0])
                 if held and this != name:
-                    yield block_changes(pd.concat(held), names)
+                    yield from block_changes(pd.concat(held), names)
                     held = []
                 name = this
                 held.append(part)
         if held:
-            yield block_changes(pd.concat(held), names)
+            yield from block_changes(pd.concat(held), names)
 
     return spread.mapInPandas(compare, f"stream_id {dict(facts.dtypes)['stream_id']}, observed_on date, item string, change_kind string")
 
 
-def block_changes(block: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+def block_changes(block: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFrame]:
     """Changes of one block of one stream: (stream_id, item, at, observed_on, next_on, *names)."""
     known: dict[object, int] = {}
     number = ordinals(known, block["item"].tolist())
@@ -162,6 +162,6 @@ def block_changes(block: pd.DataFrame, names: list[str]) -> pd.DataFrame:
         earlier = (at[a], bitmap, place, block["next_on"].iat[a])
     if earlier is not None and not pd.isna(earlier[3]):
         out.append((earlier[3], earlier[1].and_not(Bitmap(np.empty(0, dtype=np.int64))), "removed"))
-    rows = [pd.DataFrame({"observed_on": when, "item": keys[which], "change_kind": kind}) for when, which, kind in out if len(which)]
-    found = pd.concat(rows) if rows else pd.DataFrame({"observed_on": [], "item": [], "change_kind": []})
-    return found.assign(stream_id=block["stream_id"].iat[0])[["stream_id", "observed_on", "item", "change_kind"]]
+    for when, which, kind in out:
+        if len(which):
+            yield pd.DataFrame({"stream_id": block["stream_id"].iat[0], "observed_on": when, "item": keys[which], "change_kind": kind})
