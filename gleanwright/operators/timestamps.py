@@ -128,13 +128,20 @@ def instant(parsed: Column, zone: Column) -> Column:
     return _once(_once(F.struct(parsed.alias("p"), zone.alias("z")), read), lambda micros: F.when(micros >= 0, micros))
 
 
+def zones_of(feeds: DataFrame) -> list[str]:
+    """The zones a table of feeds names: at most as many as the time-zone database has."""
+    return [r.tz for r in feeds.where("tz IS NOT NULL").select("tz").distinct().orderBy("tz").collect()]
+
+
+def _with_each(feeds: DataFrame, zones: list[str]) -> DataFrame:
+    return feeds.select("feed", F.explode(F.array(*[F.lit(z) for z in zones]).cast("array<string>")).alias("zone"))
+
+
 def candidate_zones(feeds: DataFrame) -> DataFrame:
-    """(feed, zone): the declared zone of a feed; a feed without one has every zone of the table.
-    One row per feed and zone; the table of feeds is small by nature (a row per source)."""
+    """(feed, zone): the declared zone of a feed; a feed without one has every zone of the table."""
     declared = feeds.where("feed IS NOT NULL").select("feed", F.col("tz").alias("zone")).distinct()
-    zones = declared.where("zone IS NOT NULL").select("zone").distinct()
     open_ = declared.groupBy("feed").agg(F.max("zone").alias("any")).where("any IS NULL").select("feed")
-    return declared.where("zone IS NOT NULL").unionAll(open_.join(zones, F.lit(True)))
+    return declared.where("zone IS NOT NULL").unionAll(_with_each(open_, zones_of(feeds)))
 
 
 def zone_scores(rows: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -177,8 +184,7 @@ def chosen_zones(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def all_zones(feeds: DataFrame) -> DataFrame:
     """Every feed with every zone of the table."""
-    zones = feeds.where("tz IS NOT NULL").select(F.col("tz").alias("zone")).distinct()
-    return feeds.where("feed IS NOT NULL").select("feed").distinct().join(F.broadcast(zones), F.lit(True))
+    return _with_each(feeds.where("feed IS NOT NULL").select("feed").distinct(), zones_of(feeds))
 
 
 def parsed_rows(rows: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanwright.plans import core
+from gleanwright.plans import core, reports, texts
+
+PARTS = (texts, reports, core)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [core.p2_found, core.p4_found, core.p4_zones, core.p6_found]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for part in PARTS for f in part.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for part in PARTS for k, v in part.SQL.items()}
