@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanwright.plans import core, reports, texts
+from gleanwright.plans import core, pipelines, reports, texts
 
-PARTS = (texts, reports, core)
+PARTS = (texts, reports, pipelines, core)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
