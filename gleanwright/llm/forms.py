@@ -222,7 +222,8 @@ def member_counts(texts: DataFrame) -> DataFrame:
                             found[y] = found.get(y, 0) + 1
         for x, n in plain.items():
             found[x] = found.get(x, 0) + n
-        yield pd.DataFrame({"member": list(found), "n": list(found.values())}, columns=["member", "n"])
+        if found:
+            yield pd.DataFrame({"member": list(found), "n": list(found.values())}, columns=["member", "n"])
 
     counted = texts.mapInPandas(count, "member string, n bigint")
     return counted.groupBy("member").agg(F.sum("n").alias("n"))

@@ -137,11 +137,12 @@ def _one_pass(corpus: DataFrame, items: list[tuple[int, str]], written: dict[str
         places: list[np.ndarray] = []
         held = 0
 
-        def searched() -> pd.DataFrame:
+        def searched() -> Iterator[pd.DataFrame]:
             out = shard_leaks(np.array(keys), np.concatenate(runs), np.concatenate(owners), np.concatenate(places), tests, min_words)
             for x in (keys, runs, owners, places):
                 x.clear()
-            return out.rename(columns={"key": "doc_id"}).astype({"item_id": "int64", "words": "int64", "start": "int64"})
+            if len(out):
+                yield out.rename(columns={"key": "doc_id"}).astype({"item_id": "int64", "words": "int64", "start": "int64"})
 
         if not len(tests.item):
             return
@@ -161,10 +162,10 @@ def _one_pass(corpus: DataFrame, items: list[tuple[int, str]], written: dict[str
                 if long.any():
                     keys.append(key)
                 if held >= shard_words:
-                    yield searched()
+                    yield from searched()
                     held = 0
         if held:
-            yield searched()
+            yield from searched()
 
     return corpus.select("doc_id", "text").mapInPandas(search, f"doc_id {dict(corpus.dtypes)['doc_id']}, item_id bigint, words bigint, start bigint")
 

@@ -143,7 +143,8 @@ def reading_bands(corpus: DataFrame, samples: DataFrame, written: dict[str, str]
                     band, words, sentences = grade(same(text), bands)
                     if band is not None and words >= min_words:
                         rows.append((key, band, words, sentences))
-            yield pd.DataFrame(rows, columns=["doc_id", "band", "words", "sentences"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "band", "words", "sentences"])
 
     found = corpus.select("doc_id", "text").mapInPandas(read, f"doc_id {dict(corpus.dtypes)['doc_id']}, band bigint, words bigint, sentences bigint")
     return found.dropDuplicates(["doc_id"])

@@ -43,7 +43,8 @@ def tag_items(rows: DataFrame, written: dict[str, str]) -> DataFrame:
                 found.discard("")
                 baskets.extend([basket] * len(found))
                 items.extend(sorted(found))
-            yield pd.DataFrame({"basket": baskets, "item": items}, columns=["basket", "item"])
+            if baskets:
+                yield pd.DataFrame({"basket": baskets, "item": items}, columns=["basket", "item"])
 
     return rows.select("basket", "caption", "tags").mapInPandas(read, "basket string, item string")
 

@@ -72,7 +72,8 @@ def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], fl
                             if counter[2] != record:
                                 counter[1] += 1
                                 counter[2] = record
-        yield handed()
+        if seen:
+            yield handed()
 
     partial = spread.mapInPandas(count, "term string, occurrences bigint, records bigint")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
