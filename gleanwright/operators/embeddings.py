@@ -67,8 +67,8 @@ def _one_block(held: pd.DataFrame, vectors: DataFrame, key: str, vector: str, k:
                 found.append(pd.DataFrame({"query_id": query, key: keys[order], "similarity": similarity[order]}))
             if len(found) > 4 * len(ids):
                 found = [_best(found, key, k)]
-        if found:
-            yield _best(found, key, k)
+        if found and len(best := _best(found, key, k)):
+            yield best
 
     kind = dict(vectors.dtypes)[key]
     return vectors.select(key, vector).mapInPandas(search, f"query_id {kind}, {key} {kind}, similarity double")

@@ -155,7 +155,8 @@ def phrase_spans(documents: DataFrame, key: str, text: str, max_words: int = 3,
     def cut(batches):
         for batch in batches:
             rows = [(k, *span) for k, t in zip(batch["key"], batch["text"], strict=True) if isinstance(t, str) for span in spans_of(t, max_words)]
-            yield pd.DataFrame(rows, columns=["key", "phrase", "start", "end"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "phrase", "start", "end"])
 
     found = source.mapInPandas(cut, f"key {dict(source.dtypes)['key']}, phrase string, start int, end int")
     place = Window.partitionBy("phrase").orderBy("key", "start")

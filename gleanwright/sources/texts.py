@@ -147,7 +147,8 @@ def html_rows(pages: DataFrame, key: str, html: str, selector: str, attribute: s
             for k, page in zip(batch[key], batch[html], strict=True):
                 if isinstance(page, str):
                     rows += [(k, n, text, attrs.get(attribute) if attribute else None) for n, (text, attrs) in enumerate(select(page, selector), 1)]
-            yield pd.DataFrame(rows, columns=[key, "position", "text", "attribute"])
+            if rows:
+                yield pd.DataFrame(rows, columns=[key, "position", "text", "attribute"])
 
     return pages.select(key, html).mapInPandas(read, f"{key} {kind}, position int, text string, attribute string")
 

@@ -61,7 +61,8 @@ def change_alerts(stream: DataFrame, keys: list[str], at: str, value: str, min_c
             last = (stamp, float(now))
         if last[0] is not None:
             state.update(last)
-        yield pd.DataFrame(found, columns=[*keys, "observed_at", "before", "after", "delta"])
+        if found:
+            yield pd.DataFrame(found, columns=[*keys, "observed_at", "before", "after", "delta"])
 
     grouped = stream.select(*keys, F.col(at).cast("timestamp").alias(at), F.col(value).cast("double").alias(value)).groupBy(*keys)
     return grouped.applyInPandasWithState(step, out, "at bigint, value double", "append", "NoTimeout")
