@@ -82,34 +82,34 @@ def ordinals(known: dict[object, int], keys: list) -> np.ndarray:
     return np.array([known.setdefault(k, len(known)) for k in keys], dtype=np.int64)
 
 
-def latest_deliveries(rows: DataFrame, stream: str, observed: str, delivered: str) -> DataFrame:
-    """The rows of each snapshot's latest delivery."""
-    usable = rows.where(F.col(stream).isNotNull() & F.col(observed).isNotNull())
-    last = usable.groupBy(F.col(stream).alias("_s"), F.col(observed).alias("_o")).agg(F.max(delivered).alias("_d"))
-    return usable.join(last, (F.col(stream) == F.col("_s")) & (F.col(observed) == F.col("_o")) & F.col(delivered).eqNullSafe(F.col("_d"))).drop("_s", "_o", "_d")
+def snapshot_list(rows: DataFrame, stream: str, observed: str, delivered: str, block_rows: int) -> DataFrame:
+    """(stream_id, observed_on, delivered, at, next_on, blocks): the snapshots of each stream in
+    order, with the time of the latest delivery and the number of blocks for the stream's rows."""
+    found = rows.where(F.col(stream).isNotNull() & F.col(observed).isNotNull()).groupBy(F.col(stream).alias("stream_id"), F.col(observed).alias("observed_on")).agg(F.max(delivered).alias("delivered"), F.count("*").alias("n"))
+    order = Window.partitionBy("stream_id").orderBy("observed_on")
+    blocks = F.ceil(F.sum("n").over(Window.partitionBy("stream_id")) / block_rows).cast("int")
+    return found.select("stream_id", "observed_on", "delivered", F.row_number().over(order).alias("at"), F.lead("observed_on").over(order).alias("next_on"), blocks.alias("blocks"))
 
 
 def snapshot_changes(rows: DataFrame, stream: str, observed: str, delivered: str, item: Column, values: dict[str, Column], block_rows: int = 200_000) -> DataFrame:
     """(stream_id, observed_on DATE, item, change_kind added | removed | changed).
 
     ``values``: an aggregate for each compared column, over the rows of one key in a snapshot."""
-    current = latest_deliveries(rows, stream, observed, delivered)
-    keyed = current.select(F.col(stream).alias("stream_id"), F.col(observed).alias("observed_on"), item.alias("item"), *[F.col(c) for c in rows.columns if c not in ("stream_id", "observed_on", "item")])
-    # Which snapshots a stream has, in order: one row per stream and date.
-    dates = keyed.groupBy("stream_id", "observed_on").agg(F.count("item").alias("n"))
-    order = Window.partitionBy("stream_id").orderBy("observed_on")
-    numbered = dates.select(
-        "stream_id", "observed_on", F.row_number().over(order).alias("at"), F.lead("observed_on").over(order).alias("next_on"),
-        F.ceil(F.sum("n").over(Window.partitionBy("stream_id")) / block_rows).cast("int").alias("blocks"),
-    )
-    packed = [v.alias(k) for k, v in values.items()]
-    facts = keyed.where("item IS NOT NULL").groupBy("stream_id", "observed_on", "item").agg(*packed)
-    placed = facts.join(numbered, ["stream_id", "observed_on"]).withColumn("block", F.expr("int(pmod(xxhash64(item), greatest(blocks, 1)))")).drop("blocks")
-    spread = placed.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", "at", "item")
+    marks = {c: f"__{c}" for c in ("stream_id", "observed_on", "delivered", "at", "next_on", "blocks", "block", "item")}
+    listed = snapshot_list(rows, stream, observed, delivered, block_rows)
+    snapshots = listed.select(*[F.col(c).alias(marks[c]) for c in listed.columns])
+    keyed = rows.withColumn("__item", item).where("__item IS NOT NULL")
+    on = (F.col(stream) == F.col("__stream_id")) & (F.col(observed) == F.col("__observed_on")) & F.col(delivered).eqNullSafe(F.col("__delivered"))
+    current = keyed.join(snapshots, on).withColumn("__block", F.expr("int(pmod(xxhash64(__item), greatest(__blocks, 1)))"))
+    # One shuffle by stream and block serves both the summary of keys and the comparison.
+    place = [F.col(marks[c]).alias(c) for c in ("stream_id", "block", "at", "observed_on", "next_on", "item")]
+    spread = current.repartition("__stream_id", "__block")
+    facts = spread.groupBy(*place).agg(*[v.alias(k) for k, v in values.items()]).sortWithinPartitions("stream_id", "block", "at", "item")
     names = list(values)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        found: list[pd.DataFrame] = []
         name = None
         for batch in batches:
             starts = np.flatnonzero((batch["stream_id"].ne(batch["stream_id"].shift()) | batch["block"].ne(batch["block"].shift())).to_numpy())
@@ -117,17 +117,25 @@ def snapshot_changes(rows: DataFrame, stream: str, observed: str, delivered: str
                 part = batch.iloc[a:b]
                 this = (part["stream_id"].iat[0], part["block"].iat[0])
                 if held and this != name:
-                    yield from block_changes(pd.concat(held), names)
+                    found.append(block_changes(pd.concat(held), names))
                     held = []
                 name = this
                 held.append(part)
+            if found:
+                yield from nonempty(found)
+                found = []
         if held:
-            yield from block_changes(pd.concat(held), names)
+            yield from nonempty([block_changes(pd.concat(held), names)])
+
+    return facts.mapInPandas(compare, f"stream_id {dict(facts.dtypes)['stream_id']}, observed_on date, item string, change_kind string")
+
 
-    return spread.mapInPandas(compare, f"stream_id {dict(facts.dtypes)['stream_id']}, observed_on date, item string, change_kind string")
+def nonempty(frames: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if frames := [f for f in frames if len(f)]:
+        yield pd.concat(frames)
 
 
-def block_changes(block: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFrame]:
+def block_changes(block: pd.DataFrame, names: list[str]) -> pd.DataFrame:
     """Changes of one block of one stream: (stream_id, item, at, observed_on, next_on, *names)."""
     known: dict[object, int] = {}
     number = ordinals(known, block["item"].tolist())
@@ -162,6 +170,9 @@ def block_changes(block: pd.DataFrame, names: list[str]) -> Iterator[pd.DataFram
         earlier = (at[a], bitmap, place, block["next_on"].iat[a])
     if earlier is not None and not pd.isna(earlier[3]):
         out.append((earlier[3], earlier[1].and_not(Bitmap(np.empty(0, dtype=np.int64))), "removed"))
-    for when, which, kind in out:
-        if len(which):
-            yield pd.DataFrame({"stream_id": block["stream_id"].iat[0], "observed_on": when, "item": keys[which], "change_kind": kind})
+    out = [x for x in out if len(x[1])]
+    sizes = [len(which) for _, which, _ in out]
+    dates, kinds = np.empty(len(out), dtype=object), np.array([kind for _, _, kind in out], dtype=object)
+    dates[:] = [when for when, _, _ in out]
+    items = keys[np.concatenate([which for _, which, _ in out])] if out else []
+    return pd.DataFrame({"stream_id": block["stream_id"].iat[0], "observed_on": np.repeat(dates, sizes), "item": items, "change_kind": np.repeat(kinds, sizes)})
