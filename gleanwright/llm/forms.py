@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwright.session import checkpointed
+
 # Letters of other scripts that have the shape of a Latin letter
 # (a selection of the public Unicode confusables), grouped by the Latin letter.
 SAME_SHAPE = {
@@ -252,9 +254,10 @@ def look_alike_pairs(records: DataFrame, written: dict[str, str], rows_per_salt:
 
     Only keys (digests of the form) with several spellings are paired; a key of many rows is
     salted, so that no task holds more than ``rows_per_salt`` rows of its left side."""
-    keyed = records.where(F.col("text").isNotNull()).select(
+    # Forms are made once: what follows reads their digests twice.
+    keyed = checkpointed(records.where(F.col("text").isNotNull()).select(
         "id", F.md5(F.encode(form(F.col("text"), written), "UTF-8")).alias("key"), F.md5(F.encode("text", "UTF-8")).alias("spelling")
-    ).distinct()
+    ).distinct())
     split = (
         keyed.groupBy("key").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi"), F.count("*").alias("n"))
         .where("lo <> hi").select("key", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
@@ -269,9 +272,9 @@ def look_alike_pairs(records: DataFrame, written: dict[str, str], rows_per_salt:
 def look_alike_classes_of(records: DataFrame, written: dict[str, str]) -> DataFrame:
     """(id, class_id, spellings, links): one row per id and form; ``links`` counts the ids of
     the class.  Every id of the class is kept, copies are not expanded into pairs."""
-    keyed = records.where(F.col("text").isNotNull()).select(
+    keyed = checkpointed(records.where(F.col("text").isNotNull()).select(
         "id", F.md5(F.encode(form(F.col("text"), written), "UTF-8")).alias("class_id"), F.md5(F.encode("text", "UTF-8")).alias("spelling")
-    ).distinct()
+    ).distinct())
     sizes = keyed.groupBy("class_id", "spelling").agg(F.count("*").alias("n")).groupBy("class_id").agg(
         F.count("*").alias("spellings"), F.sum("n").alias("links")
     )
