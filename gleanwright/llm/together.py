@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanwright.llm.forms import rewriter
+from gleanwright.session import checkpointed
 
 HASHTAG = re.compile(r"(?:(?<=^)|(?<=[\s(\[{]))#(\w+)")
 
@@ -53,7 +54,8 @@ def pair_counts(items: DataFrame, baskets: int, min_count: int = 1) -> DataFrame
     """(item_a, item_b, n_ab, n_a, n_b, lift, pmi) of every pair of items found together in at
     least ``min_count`` of ``baskets`` records.  ``items``: (basket, item)."""
     total = F.lit(float(baskets))
-    merged = items.where("basket IS NOT NULL AND item IS NOT NULL").groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    # Baskets are put together once: marginals, pruning and pairs read them.
+    merged = checkpointed(items.where("basket IS NOT NULL AND item IS NOT NULL").groupBy("basket").agg(F.array_sort(F.collect_set("item")).alias("items")))
     marginal = merged.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     usable = merged
     if min_count > 1:
