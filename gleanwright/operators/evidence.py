@@ -78,3 +78,23 @@ def in_returned_order(rows: DataFrame, array: str, keys: list[str], identity=Non
         return out
     first = Window.partitionBy(*keys, identity(F.col("phrase"))).orderBy("position")
     return out.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def enriched(requested: DataFrame, details: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Requested rows with their details, and the requested keys that have none."""
+    return requested.join(details, key, "left"), requested.join(details.select(key), key, "left_anti").select(key)
+
+
+def unreturned(asked: DataFrame, returned: DataFrame, identity) -> DataFrame:
+    """Asked phrases that the answer lacks, by identity."""
+    back = returned.select(identity(F.col("phrase")).alias("_i")).distinct()
+    return asked.withColumn("_i", identity(F.col("phrase"))).join(back, "_i", "left_anti").drop("_i")
+
+
+def actor_rows(rows: DataFrame, kind_column: str, kind: str, renamed: dict[str, str], advert: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of one kind without adverts under our names, and how many others were skipped."""
+    wanted = F.coalesce(F.col(kind_column) == kind, F.lit(False))
+    if advert is not None:
+        wanted = wanted & ~F.coalesce(F.col(advert), F.lit(False))
+    kept = rows.where(wanted).select(*[F.col(theirs).alias(ours) for theirs, ours in renamed.items()])
+    return kept, rows.agg(F.count_if(~wanted).alias("skipped"))

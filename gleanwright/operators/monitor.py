@@ -280,3 +280,44 @@ def coverage_html(report: DataFrame, limit: int = 10_000) -> str:
     cells = lambda r: "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r)
     head = "".join(f"<th>{html.escape(c)}</th>" for c in report.columns)
     return f"<table><tr>{head}</tr>" + "".join(f"<tr>{cells(r)}</tr>" for r in rows) + "</table>"
+
+# Older names of evidence kinds.
+OLDER_KINDS = {"search_volume": "search_volume_estimate", "trend": "relative_interest", "suggestion": "language_suggestion", "performance": "property_performance", "engagement": "sampled_engagement"}
+
+
+def adapted(rows: DataFrame) -> DataFrame:
+    """Reviewed rows of older files: kinds renamed, unavailable values emptied, displays such as
+    ``<10`` kept as censored text.  rows: evidence_kind, availability, value STRING."""
+    names = F.create_map(*[x for k, v in OLDER_KINDS.items() for x in (F.lit(k), F.lit(v))])
+    shown, state = F.trim("value"), F.lower(F.coalesce("availability", F.lit("observed")))
+    gone = ~state.isin("observed", "available")
+    return rows.select(
+        *[c for c in rows.columns if c not in ("evidence_kind", "availability", "value")], F.coalesce(F.try_element_at(names, "evidence_kind"), "evidence_kind", F.lit("unknown")).alias("evidence_kind"),
+        F.when(gone, state).otherwise("observed").alias("availability"), F.when(~gone, shown).alias("raw"), F.when(~gone, shown.try_cast("double")).alias("value"), F.coalesce(~gone & shown.rlike(r"^[<>]\s*\d"), F.lit(False)).alias("censored"),
+    )
+
+
+def in_context(rows: DataFrame, defaults: dict[str, str], scope_fields: tuple[str, ...] = ()) -> DataFrame:
+    """Row values over defaults; scope columns moved into the dimensions map."""
+    out = rows
+    for k, v in defaults.items():
+        out = out.withColumn(k, F.coalesce(F.col(k), F.lit(v)) if k in rows.columns else F.lit(v))
+    if scope_fields:
+        own = F.map_filter(F.create_map(*[x for f in scope_fields for x in (F.lit(f), F.col(f).cast("string"))]), lambda _, v: v.isNotNull())
+        out = out.withColumn("dimensions", F.map_concat("dimensions", own) if "dimensions" in rows.columns else own).drop(*scope_fields)
+    return out
+
+
+def runnable(plan: DataFrame, watches: DataFrame) -> DataFrame:
+    """(watch_id, problem): plan entries against the watches they were made from."""
+    now = watches.select(F.col("id").alias("watch_id"), F.sha2(F.to_json(F.struct(*sorted(watches.columns))), 256).alias("_now"))
+    problem = F.when(F.col("_now").isNull(), "unknown-watch").when(F.col("_now") != F.col("watch_sha256"), "watch-changed")
+    return plan.join(now, "watch_id", "left").select("watch_id", problem.alias("problem"))
+
+
+def capture_status(references: DataFrame, files: DataFrame) -> DataFrame:
+    """(status, captures) of distinct references (file, sha256) against files (file, content)."""
+    there = files.select("file", F.sha2("content", 256).alias("_sha"))
+    judged = references.where("file IS NOT NULL").select("file", F.lower("sha256").alias("sha256")).distinct().join(there, "file", "left")
+    status = F.when(F.col("_sha").isNull(), "missing").when(F.col("sha256").isNull(), "unhashed").when(F.col("_sha") != F.col("sha256"), "changed").otherwise("verified")
+    return judged.groupBy(status.alias("status")).agg(F.count("*").alias("captures"))

@@ -119,3 +119,17 @@ def discovered(records: DataFrame, key: str, tags: str, order: str) -> DataFrame
     """(tag, records, display): record counts and the first seen spelling of each tag."""
     seen = records.select(key, order, F.posexplode(tags).alias("tag_place", "spelling")).withColumn("tag", F.lower("spelling"))
     return seen.groupBy("tag").agg(F.count_distinct(key).alias("records"), F.min_by("spelling", F.struct(order, "tag_place")).alias("display"))
+
+
+def profiles(spark) -> DataFrame:
+    """(platform, ceiling, surface) of the editorial profiles."""
+    return spark.createDataFrame([(k, *v) for k, v in sorted(PROFILES.items())], "platform string, ceiling int, surface string")
+
+
+def reviewed(pool: DataFrame, review: DataFrame, key: str) -> DataFrame:
+    """The pool with its review; a repeated or orphan decision raises when read."""
+    counted = review.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    joined = pool.withColumn("_p", F.lit(True)).join(counted, key, "full_outer")
+    bad = F.when(F.col("_p").isNull(), F.lit("orphan decision ")).when(F.col("_n") > 1, F.lit("repeated decision "))
+    checked = F.when(bad.isNull(), F.col(key)).otherwise(F.raise_error(F.concat(bad, F.col(key))).cast(dict(pool.dtypes)[key]))
+    return joined.withColumn(key, checked).drop("_p", "_n")

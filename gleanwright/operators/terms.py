@@ -185,3 +185,48 @@ def spans_of(text: str, max_words: int) -> list[tuple[str, int, int]]:
                 continue
             out.append((phrase, start, last))
     return out
+
+
+# Word gaps within a phrase, and what may not stand before a word, by record family.
+STYLES = {
+    "video": {"gap": r"(?: {1,2}|\t)", "drop": r"(?i)https?://\S+|(?<![\p{L}\p{N}_#])#[\p{L}\p{M}\p{N}_]+"},
+    "short-video": {"gap": r"[^\S\r\n]+", "drop": r"[#@][\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*"},
+}
+
+
+def sample_phrases(documents: DataFrame, key: str, text: str, max_words: int = 3, style: str = "video", more_stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """(key, phrase), one row per place: contiguous words without a stopword among them.
+
+    ``video``: outside addresses and tags, words parted by one or two blanks or a tab, first word
+    of two characters or more; ``short-video``: not after ``#`` or ``@``, parted by blanks of a
+    line, every word of two characters and no plain number, at most 160 characters."""
+    rule, word = STYLES[style], LETTER
+    t = F.regexp_replace(text, rule["drop"], "\n")
+    t = F.regexp_replace(t, rf"(?<=[{word}]){rule['gap']}(?=[{word}])", "\u0001")
+    t = F.regexp_replace(t, rf"(?<![{word}])['’\-]+|['’\-]+(?![{word}])|[^{word}'’\-\u0001]+", "\n")
+    runs = F.filter(F.transform(F.split(t, "\n"), lambda r: F.filter(F.split(r, "\u0001"), lambda w: w != "")), lambda r: F.size(r) > 0)
+    found = documents.select(key, F.explode(runs).alias("run"))
+    stops = stopword_array([*SAMPLE_STOPWORDS, *more_stopwords])
+    bad = F.transform("run", lambda w: F.array_contains(stops, w) | ((F.length(w) < 2) | w.rlike(r"^\d+$") if style == "short-video" else F.lit(False)))
+    marked = found.select(key, "run", bad.alias("bad"))
+    widths = F.array(*[F.lit(n) for n in range(1, max_words + 1)])
+    spans = F.flatten(F.transform(widths, lambda n: F.when(F.size("run") >= n, F.transform(F.sequence(F.lit(1), F.size("run") - n + 1), lambda i: F.struct(F.slice("run", i, n).alias("w"), F.exists(F.slice("bad", i, n), lambda b: b).alias("b")))).otherwise(F.array().cast("array<struct<w:array<string>,b:boolean>>"))))
+    fit = F.filter(spans, lambda s: ~s["b"] & (F.length(s["w"][0]) >= 2))
+    phrases = marked.select(key, F.explode(fit).alias("s")).select(key, F.array_join("s.w", " ").alias("phrase"))
+    return phrases.where(F.length("phrase") <= 160) if style == "short-video" else phrases
+
+
+def inventory(phrases: DataFrame, key: str, min_occurrences: int = 1, min_documents: int = 1, allowed: DataFrame | None = None) -> DataFrame:
+    """(phrase, occurrences, documents) of candidates that occur often enough."""
+    rows = phrases.join(allowed, "phrase", "left_semi") if allowed is not None else phrases
+    counted = rows.groupBy("phrase").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"))
+    return counted.where((F.col("occurrences") >= min_occurrences) & (F.col("documents") >= min_documents))
+
+
+def salience(spans: DataFrame, location: list[str], weight: str) -> DataFrame:
+    """(phrase, locations, raw, score): the largest weight of a phrase's features times
+    1 + log2(places), plus a tenth per word up to five, against the largest of all."""
+    by = spans.groupBy("phrase").agg(F.max(weight).alias("w"), F.count_distinct(*location).alias("locations"))
+    words = F.least(F.size(F.split("phrase", " ")), F.lit(5))
+    raw = by.select("phrase", "locations", (F.col("w") * (1 + F.log2("locations")) + words * 0.1).alias("raw"))
+    return raw.withColumn("score", F.col("raw") / raw.agg(F.max("raw")).scalar())

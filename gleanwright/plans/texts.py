@@ -263,7 +263,35 @@ WITH t AS (SELECT regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([
 u AS (SELECT lower(x.h) AS h, lower(x.s) || '://' || lower(x.h) || CASE WHEN x.p = '' THEN '/' ELSE x.p END || x.q AS address FROM t)
 SELECT nullif(regexp_replace(h, '^www\.', ''), '') AS host, count(*) AS rows, count(DISTINCT address) AS addresses FROM u GROUP BY 1"""
 
+
+def sample_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "videos").select("id", F.lower("caption").alias("caption"))
+    return terms.inventory(terms.sample_phrases(rows, "id", "caption", 2), "id", 2, 2)
+
+
+SQL["sample_phrases"] = rf"""
+WITH a AS (SELECT id, regexp_replace(lower(caption), 'https?://\S+', chr(10), 'g') AS t FROM videos), b AS (SELECT id, regexp_replace(t, '(^|[^\p{{L}}\p{{N}}_#])#[\p{{L}}\p{{M}}\p{{N}}_]+', '\1' || chr(10), 'g') AS t FROM a),
+c AS (SELECT id, regexp_replace(t, '[^\p{{L}}\p{{N}}''’ \t-]+', chr(10), 'g') AS t FROM b), d AS (SELECT id, regexp_replace(regexp_replace(t, '(^|[ \t\n])[''’-]+', '\1' || chr(10), 'g'), '[''’-]+([ \t\n]|$)', chr(10) || '\1', 'g') AS t FROM c),
+e AS (SELECT id, regexp_replace(t, '[ \t]{{3,}}|\t[ \t]| \t', chr(10), 'g') AS t FROM d), r AS (SELECT id, unnest(string_split(t, chr(10))) AS run FROM e), w AS (SELECT id, list_filter(regexp_split_to_array(run, '[ \t]+'), lambda x: x <> '') AS w FROM r),
+g AS (SELECT id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM w, (VALUES (1), (2)) v(n) WHERE len(w) >= n), p AS (SELECT id, w[i:i + n - 1] AS p FROM g)
+SELECT array_to_string(p, ' ') AS phrase, count(*) AS occurrences, count(DISTINCT id) AS documents FROM p WHERE NOT list_has_any(p, [{SAMPLE_STOPS}]) AND length(p[1]) >= 2 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT id) >= 2"""
+
+
+def tag_salience(spark: SparkSession, folder: str) -> DataFrame:
+    """Salience of tags and title words of records, tags weighing more."""
+    videos = table(spark, folder, "videos").select("id", F.posexplode("tags").alias("place", "t")).select("id", "place", F.lower(F.trim("t")).alias("phrase"), F.lit(4.0).alias("weight"))
+    titles = table(spark, folder, "posts").select("id", F.posexplode(words(F.col("title"), 3)).alias("place", "phrase"), F.lit(1.0).alias("weight"))
+    found = terms.salience(videos.unionByName(titles).where("phrase <> ''"), ["id", "place"], "weight")
+    return found.select("phrase", "locations", F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
+
+
+SQL["tag_salience"] = r"""
+WITH s AS (SELECT id, i AS place, lower(trim(t)) AS phrase, 4.0 AS weight FROM (SELECT id, unnest(tags) AS t, generate_subscripts(tags, 1) AS i FROM videos) UNION ALL
+  SELECT id, i, t, 1.0 FROM (SELECT id, unnest(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), lambda x: length(x) >= 3)) AS t, generate_subscripts(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{N}]+'), lambda x: length(x) >= 3), 1) AS i FROM posts)),
+b AS (SELECT phrase, max(weight)::DOUBLE AS w, count(DISTINCT row(id, place)) AS locations FROM s WHERE phrase <> '' GROUP BY phrase), r AS (SELECT phrase, locations, w * (1 + log2(locations)) + least(len(string_split(phrase, ' ')), 5) * 0.1 AS raw FROM b)
+SELECT phrase, locations, round(raw, 6) AS raw, round(raw / (SELECT max(raw) FROM r), 6) AS score FROM r"""
+
 QUERIES = [
     term_sample_stats, term_counts_local, literal_ngrams_topk, hashtag_docfreq, caption_docfreq, post_term_counts, phrase_places, sample_stats_tags, sample_stats_media,
-    attention_competition, dedup_conflicts, dedup_first_nonnull, dedup_removed, serp_best_rank, cooccurrence_tags, casefold_distinct, evidence_values, tags_discovered, url_hosts,
+    attention_competition, dedup_conflicts, dedup_first_nonnull, dedup_removed, serp_best_rank, cooccurrence_tags, casefold_distinct, evidence_values, tags_discovered, url_hosts, sample_phrases, tag_salience,
 ]
