@@ -126,6 +126,12 @@ def members() -> frozenset[str]:
     return frozenset(x for c in look_alike_classes() for x in c if x)
 
 
+@lru_cache(maxsize=1)
+def decomposing() -> tuple[str, ...]:
+    """Code points with a canonical decomposition, syllables apart (their parts never change)."""
+    return tuple(c for c in map(chr, range(sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and d[0] != "<")
+
+
 def _automaton(patterns: dict[str, str]):
     import ahocorasick
 
@@ -170,13 +176,21 @@ class Rewriter:
 
     def __init__(self, written: dict[str, str]) -> None:
         self.automaton = _automaton(written)
-        plain = "".join(re.escape(x) for x in written if len(x) == 1 and x.isascii())
-        self.needs = re.compile(f"[^\\x00-\\x7f]|[{plain}]" if plain else "[^\\x00-\\x7f]")
+        changing = {x[0] for x in written}
+        changing.update(c for c in decomposing() if any(x in changing for x in unicodedata.normalize("NFD", c)))
+        self.changing = frozenset(changing)
+        ascii_ = "".join(sorted(x for x in changing if x.isascii()))
+        self.ascii = re.compile(f"[{re.escape(ascii_)}]" if ascii_ else "(?!)")
+
+    def unchanged(self, text: str) -> bool:
+        if text.isascii():
+            return not self.ascii.search(text)
+        return self.changing.isdisjoint(text) and unicodedata.is_normalized("NFC", text)
 
     def __call__(self, text: str | None) -> str | None:
         if text is None:
             return None
-        if not self.needs.search(text):
+        if self.unchanged(text):
             return text.strip(" \n")
         source, out, at = _decomposed(text), [], 0
         for end, (n, value) in self.automaton.iter_long(source):
@@ -207,13 +221,12 @@ def member_counts(texts: DataFrame) -> DataFrame:
         letters = [x for x in members() if len(x) == 1 and x.isascii()]
         found: dict[str, int] = {}
         for batch in batches:
-            for text in batch[name]:
-                if text is None:
-                    continue
+            texts = [t for t in batch[name] if isinstance(t, str)]
+            together = "".join(t for t in texts if t.isascii())
+            for x in letters:
+                plain[x] = plain.get(x, 0) + together.count(x)
+            for text in texts:
                 if text.isascii():
-                    for x in letters:
-                        if n := text.count(x):
-                            plain[x] = plain.get(x, 0) + n
                     continue
                 source = _decomposed(text)
                 for end, (n, _) in automaton.iter_long(source):
@@ -223,7 +236,8 @@ def member_counts(texts: DataFrame) -> DataFrame:
                         for y in x:
                             found[y] = found.get(y, 0) + 1
         for x, n in plain.items():
-            found[x] = found.get(x, 0) + n
+            if n:
+                found[x] = found.get(x, 0) + n
         if found:
             yield pd.DataFrame({"member": list(found), "n": list(found.values())}, columns=["member", "n"])
 
