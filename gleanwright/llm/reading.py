@@ -35,26 +35,48 @@ FUNCTION_WORDS = frozenset(
     "their them then there these they this those though through to too under until up us very was we were what when where whether which "
     "while who whose why will with without would yes yet you your".split()
 )
-WORD = re.compile(r"[A-Za-z]+(?:['’-][A-Za-z]+)*")
+WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+")
 LEAD = re.compile(r"^(?:[\s>|*#•–-]+|\d{1,2}:\d{2}(?::\d{2})?\s+|\(?\d{1,3}[.)]\s+)+")
-ABBREVIATION = re.compile(r"\b(?:[A-Z]\.){2,}|\b(?:vs|approx|e\.g|i\.e|etc|no|p\.m|a\.m|Mr|Mrs|Dr)\.")
 DATA = re.compile(r"[#\d:;|{}\[\]\t=]")
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”’)]*\s+(?=[\"'“(]?[A-Z0-9])")
-WRAP = re.compile(r"(?<=[A-Za-z,;])[ \t]*\n[ \t>|]*(?=[a-z])")
+# Full stops that end no sentence.
+ABBREVIATIONS = ("vs.", "approx.", "e.g.", "i.e.", "etc.", "no.", "p.m.", "a.m.", "Mr.", "Mrs.", "Dr.")
+
+
+def _goes_on(piece: str) -> bool:
+    """Whether a piece ends with an abbreviation or an initial."""
+    return piece.endswith(ABBREVIATIONS) or (piece[-2:-1].isupper() and piece[-1:] == "." and not piece[-3:-2].isalpha())
 
 
 def pieces(text: str) -> list[str]:
-    """A text cut at line ends and sentence ends, without mark-up and list marks."""
-    text = ADDRESS.sub(" ", TAG.sub("\n", text.replace("\r\n", "\n")))
-    text = ABBREVIATION.sub(lambda m: m[0].replace(".", ""), text)
-    text = WRAP.sub(" ", text)
-    out = []
-    for line in text.split("\n"):
-        line = LEAD.sub("", line)
-        if line:
-            out.extend(SENTENCE_END.split(line))
+    """A text cut at line ends and sentence ends, without mark-up and list marks.  A line that
+    goes on in lower case after a letter or comma is one line with the next."""
+    if "<" in text:
+        text = TAG.sub("\n", text)
+    if "://" in text or "www." in text:
+        text = ADDRESS.sub(" ", text)
+    lines: list[str] = []
+    for line in text.splitlines():
+        bare = line.lstrip(" \t|>")
+        if bare[:1].islower() and lines and (lines[-1][-1].isalpha() or lines[-1][-1] in ",;"):
+            lines[-1] += " " + bare.rstrip(" |")
+            continue
+        if line and not line[0].isalpha():
+            line = LEAD.sub("", line)
+        if line.strip():
+            lines.append(line.rstrip(" |\t"))
+    out: list[str] = []
+    for line in lines:
+        held = ""
+        for piece in SENTENCE_END.split(line):
+            held = f"{held} {piece}" if held else piece
+            if not _goes_on(piece):
+                out.append(held)
+                held = ""
+        if held:
+            out.append(held)
     return out
 
 
@@ -83,7 +105,7 @@ class BandModels:
 
 
 def words_of(piece: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(piece)]
+    return WORD.findall(piece.lower())
 
 
 def train(samples: list[tuple[str, int]], alpha: float = 0.1, rounds: int = 3) -> BandModels:
