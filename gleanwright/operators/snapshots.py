@@ -101,10 +101,10 @@ def snapshot_changes(rows: DataFrame, stream: str, observed: str, delivered: str
     keyed = rows.withColumn("__item", item).where("__item IS NOT NULL")
     on = (F.col(stream) == F.col("__stream_id")) & (F.col(observed) == F.col("__observed_on")) & F.col(delivered).eqNullSafe(F.col("__delivered"))
     current = keyed.join(snapshots, on).withColumn("__block", F.expr("int(pmod(xxhash64(__item), greatest(__blocks, 1)))"))
-    # One shuffle by stream and block serves both the summary of keys and the comparison.
+    # Repeated rows of a key are summed up before the shuffle, then blocks are brought together.
     place = [F.col(marks[c]).alias(c) for c in ("stream_id", "block", "at", "observed_on", "next_on", "item")]
-    spread = current.repartition("__stream_id", "__block")
-    facts = spread.groupBy(*place).agg(*[v.alias(k) for k, v in values.items()]).sortWithinPartitions("stream_id", "block", "at", "item")
+    summed = current.groupBy(*place).agg(*[v.alias(k) for k, v in values.items()])
+    facts = summed.repartition("stream_id", "block").sortWithinPartitions("stream_id", "block", "at", "item")
     names = list(values)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
