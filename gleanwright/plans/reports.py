@@ -540,12 +540,12 @@ SELECT query_id, vec_id, round(s, 6) AS similarity FROM s QUALIFY row_number() O
 
 
 def embedding_centroids(spark: SparkSession, folder: str) -> DataFrame:
-    return embeddings.centroid_ranking(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", 10).select("label", "vec_id", F.round("similarity", 5).alias("similarity"))
+    return embeddings.centroid_ranking(table(spark, folder, "embeddings"), "label", "vec_id", "embedding", 10).select("label", "vec_id", "similarity")
 
 
 SQL["embedding_centroids"] = """
 WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, list(s ORDER BY i) AS mean FROM (SELECT label, i, sum(v) AS s FROM x GROUP BY ALL) GROUP BY label), s AS (SELECT label, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], mean), 6) AS s FROM embeddings JOIN m USING (label))
-SELECT label, vec_id, round(s, 5) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC NULLS LAST, vec_id) <= 10"""
+SELECT label, vec_id, s AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY s DESC NULLS LAST, vec_id) <= 10"""
 
 
 def embedding_mmr(spark: SparkSession, folder: str) -> DataFrame:
