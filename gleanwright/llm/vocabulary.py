@@ -33,9 +33,21 @@ def terms_of(text: str) -> list[str]:
     return TERM.findall(text)
 
 
-def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], flush_terms: int = 400_000, partitions: int | None = None) -> DataFrame:
-    """(term, occurrences, records) over rows (record, *columns)."""
+def without_hot_copies(rows: DataFrame, columns: list[str], hot_copies: int = 10_000) -> DataFrame:
+    """The rows with exact copies of records that have more than ``hot_copies`` rows reduced to
+    one before anything is partitioned by record; other rows are as they were.  A record may
+    be delivered so often that its rows alone would be one task's whole input."""
     kept = rows.select("record", *columns)
+    hot = kept.groupBy("record").agg(F.count("*").alias("n")).where(F.col("n") > hot_copies).select("record")
+    if hot.isEmpty():
+        return kept
+    few = kept.join(hot, "record", "left_semi").dropDuplicates(["record", *columns])
+    return kept.join(hot, "record", "left_anti").unionAll(few)
+
+
+def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], flush_terms: int = 400_000, partitions: int | None = None, hot_copies: int = 10_000) -> DataFrame:
+    """(term, occurrences, records) over rows (record, *columns)."""
+    kept = without_hot_copies(rows, columns, hot_copies)
     spread = (kept.repartition(partitions, "record") if partitions else kept.repartition("record")).sortWithinPartitions("record", *[F.col(c).desc_nulls_last() for c in columns])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -55,4 +55,6 @@ def test_terms_match_brute_force_in_any_flush(spark):
         assert got == {t: (occurrences[t], records[t]) for t in occurrences}
     marks = {(r.term, r.mark) for r in vocabulary.marked(vocabulary.term_counts(frame, ["title", "body"], WRITTEN), 150).collect()}
     assert ("once", "rare") in marks and ("song", "common") in marks and all((m == "rare") == (records[t] == 1) or m == "common" for t, m in marks if m)
+    hot = {r.term: (r.occurrences, r.records) for r in vocabulary.term_counts(frame.unionAll(frame.where("record < 'r2'")), ["title", "body"], WRITTEN, hot_copies=2).collect()}
+    assert hot == {t: (occurrences[t], records[t]) for t in occurrences}
     assert vocabulary.term_counts(spark.createDataFrame([], frame.schema), ["title", "body"], WRITTEN).collect() == []
