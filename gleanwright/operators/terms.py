@@ -84,12 +84,17 @@ def literal_runs(text: Column) -> Column:
 def literal_phrases(documents: DataFrame, key: str, text: str, max_words: int = 3) -> DataFrame:
     """(key, phrase) of every contiguous phrase of up to ``max_words`` words that neither begins
     nor ends with a stopword; single words have at least two characters."""
-    stops = stopword_array(LOCAL_STOPWORDS)
     runs = documents.select(F.col(key), F.explode(literal_runs(folded(F.col(text)))).alias("run"))
-    widths = F.array(*[F.lit(n) for n in range(1, max_words + 1)])
-    grams = F.flatten(F.transform(widths, lambda n: F.when(F.size("run") >= n, F.transform(F.sequence(F.lit(1), F.size("run") - n + 1), lambda i: F.slice("run", i, n))).otherwise(F.array().cast("array<array<string>>"))))
-    usable = F.filter(grams, lambda g: ~F.array_contains(stops, g[0]) & ~F.array_contains(stops, F.element_at(g, -1)) & ((F.size(g) > 1) | (F.length(g[0]) > 1)))
-    return runs.select(key, F.explode(usable).alias("g")).select(key, F.array_join("g", " ").alias("phrase"))
+    # Each word is judged once; wider phrases grow from the narrower ones by a word.
+    grown = runs.select(key, F.transform("run", lambda w: F.struct(w.alias("w"), w.isin(LOCAL_STOPWORDS).alias("s"))).alias("words"))
+    grown = grown.withColumn("g1", F.transform("words", lambda x: F.struct(x["w"].alias("p"), x["s"].alias("f"), x["s"].alias("l"))))
+    for n in range(2, max_words + 1):
+        left = F.expr(f"slice(g{n - 1}, 1, greatest(size(g{n - 1}) - 1, 0))")
+        right = F.expr(f"slice(words, {n}, greatest(size(words) - {n - 1}, 0))")
+        grown = grown.withColumn(f"g{n}", F.zip_with(left, right, lambda a, b: F.struct(F.concat(a["p"], F.lit(" "), b["w"]).alias("p"), a["f"].alias("f"), b["s"].alias("l"))))
+    grams = F.concat(*[f"g{n}" for n in range(1, max_words + 1)])
+    usable = F.filter(grams, lambda g: ~g["f"] & ~g["l"] & (F.length(g["p"]) > 1))
+    return grown.select(key, F.explode(usable).alias("g")).select(key, F.col("g.p").alias("phrase"))
 
 
 def literal_counts(documents: DataFrame, key: str, text: str, max_words: int = 3) -> DataFrame:

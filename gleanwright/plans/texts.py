@@ -9,7 +9,7 @@ from gleanwright.functions.counts import display_count, is_censored, measured
 from gleanwright.functions.text import words
 from gleanwright.functions.urls import host, normal_url
 from gleanwright.operators import dedup, samples, selection, terms
-from gleanwright.session import table
+from gleanwright.session import spread, table
 
 SQL: dict[str, str] = {}
 EPOCH = "TIMESTAMPTZ '1970-01-01 00:00:00+00'"
@@ -18,7 +18,7 @@ NOW = "2025-06-01"
 
 def term_sample_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of three and more characters with occurrences, documents and length statistics."""
-    found = table(spark, folder, "documents").select("doc_id", "n_chars", F.explode(words(F.col("text"), 3)).alias("term"))
+    found = spread(table(spark, folder, "documents").select("doc_id", "n_chars", "text")).select("doc_id", "n_chars", F.explode(words(F.col("text"), 3)).alias("term"))
     per_document = found.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
     stats = per_document.groupBy("term").agg(
         F.sum("n").alias("occurrences"), F.count("*").alias("documents"), F.sum("n_chars").alias("n_chars_sum"),
@@ -35,7 +35,7 @@ FROM d GROUP BY term ORDER BY documents DESC, length(term) DESC, term LIMIT 50""
 
 
 def term_counts_local(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.top_phrases(terms.local_counts(table(spark, folder, "documents"), "doc_id", "text"), "occurrences", 200)
+    return terms.top_phrases(terms.local_counts(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text"), "occurrences", 200)
 
 
 STOPS = ", ".join(f"'{w}'" for w in terms.LOCAL_STOPWORDS)
@@ -50,7 +50,7 @@ SELECT phrase, occurrences, round_even(occurrences / max(occurrences) OVER (), 4
 
 
 def literal_ngrams_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.top_phrases(terms.literal_counts(table(spark, folder, "documents"), "doc_id", "text"), "occurrences", 300)
+    return terms.top_phrases(terms.literal_counts(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text"), "occurrences", 300)
 
 
 FOLD = "replace(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')"
@@ -92,7 +92,7 @@ def post_term_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def phrase_places(spark: SparkSession, folder: str) -> DataFrame:
-    found = terms.phrase_spans(table(spark, folder, "documents"), "doc_id", "text")
+    found = terms.phrase_spans(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
     return found.orderBy(F.col("occurrences").desc(), F.length("phrase").desc(), "phrase").limit(100)
 
 

@@ -44,3 +44,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame, least: int = 64) -> DataFrame:
+    """The rows over all cores when a scan has fewer partitions than that (a few small or
+    unsplittable files) and costly work per row follows; scans of many splits stay as they are."""
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, least)
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
