@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwright.llm import bpe, forms, leakage, reading, together, vocabulary
-from gleanwright.session import table
+from gleanwright.session import spread, table
 
 MIN_SHARED, MIN_LIFT = 8, 10
 LEAK_WORDS, BAND_WORDS = 10, 60
@@ -16,7 +16,11 @@ LEAK_WORDS, BAND_WORDS = 10, 60
 
 def captions(spark: SparkSession, folder: str) -> DataFrame:
     media = table(spark, folder, "media").select("id", F.col("caption").alias("text"))
-    return media.unionAll(table(spark, folder, "videos").select("id", F.col("caption").alias("text")))
+    return spread(media.unionAll(table(spark, folder, "videos").select("id", F.col("caption").alias("text"))))
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def caption_forms(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -38,7 +42,7 @@ def tagged_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _tags(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     rows = tagged_rows(spark, folder)
-    return together.tag_items(rows, caption_forms(spark, folder)), rows.select("basket").distinct().count()
+    return together.tag_items(spread(rows), caption_forms(spark, folder)), rows.select("basket").distinct().count()
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +60,7 @@ def term_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     rows = term_rows(spark, folder)
-    written = forms.fit_forms(rows.select(F.explode(F.array("title", "body")).alias("text")))
+    written = forms.fit_forms(spread(rows).select(F.explode(F.array("title", "body")).alias("text")))
     records = rows.select("record").distinct().count()
     return vocabulary.marked(vocabulary.term_counts(rows, ["title", "body"], written), records)
 
@@ -66,13 +70,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.encoded(table(spark, folder, "documents"), bpe.vocabulary_path())
+    return bpe.encoded(documents(spark, folder), bpe.vocabulary_path())
 
 
 def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark")
     written = forms.fit_forms(items.select("text"))  # which member is written has no bearing on equality
-    return leakage.leaks(table(spark, folder, "documents"), items, written, LEAK_WORDS)
+    return leakage.leaks(documents(spark, folder), items, written, LEAK_WORDS)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,7 +86,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     samples = table(spark, folder, "graded_samples")
     written = forms.fit_forms(samples.select("text"))  # the models' own spelling
-    return reading.reading_bands(table(spark, folder, "documents"), samples, written, BAND_WORDS).select("doc_id", "band")
+    return reading.reading_bands(documents(spark, folder), samples, written, BAND_WORDS).select("doc_id", "band")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
