@@ -31,7 +31,7 @@ def compare_observations(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(kept, "days", "value_percent", "value_per_day", "value_change")
 
 
-_PANEL = "SELECT phrase, source, scope, metric, unit, geography, arg_max({{'value': value, 'at': observed_at}}, row(observed_at, obs_id, value)) AS v FROM observations_after WHERE year(observed_at) = {0} GROUP BY ALL"
+_PANEL = "SELECT phrase, source, scope, metric, unit, geography, arg_max({{'value': value, 'at': observed_at}}, row(observed_at, obs_id, value)) AS v FROM observations_after WHERE year(observed_at AT TIME ZONE 'UTC') = {0} GROUP BY ALL"
 SQL["compare_observations"] = f"""
 WITH a AS ({_PANEL.format(2021)}), b AS ({_PANEL.format(2022)}),
 j AS (SELECT coalesce(b.phrase, a.phrase) AS phrase, coalesce(b.source, a.source) AS source, coalesce(b.scope, a.scope) AS scope, coalesce(b.metric, a.metric) AS metric, coalesce(b.unit, a.unit) AS unit, coalesce(b.geography, a.geography) AS geography,
