@@ -32,13 +32,14 @@ SELECT {dims}, sum({clicks}) AS clicks, sum({impressions}) AS impressions,
        try_divide(sum({position} * {impressions}), sum({impressions})) + {offset} AS average_position
 FROM {table}
 WHERE {day} BETWEEN DATE '{start}' AND DATE '{end}' AND {condition}
-GROUP BY ALL ORDER BY impressions DESC, {dims} LIMIT {limit}
+GROUP BY ALL ORDER BY impressions DESC, {dims}
 """
 
 
-def bulk_totals(spark: SparkSession, rows: DataFrame, dims: list[str], columns: dict[str, str], start: str, end: str, condition: str = "true", offset: int = 1, limit: int = 1000) -> DataFrame:
-    """Totals of a period with the position weighted by impressions (stored from zero)."""
-    text = BULK_SQL.format(dims=", ".join(dims), table="{rows}", start=start, end=end, condition=condition, offset=offset, limit=limit, **columns)
+def bulk_totals(spark: SparkSession, rows: DataFrame, dims: list[str], columns: dict[str, str], start: str, end: str, condition: str = "true", offset: int = 1) -> DataFrame:
+    """Totals of a period, one row for every group, with the position weighted by impressions
+    (stored from zero)."""
+    text = BULK_SQL.format(dims=", ".join(dims), table="{rows}", start=start, end=end, condition=condition, offset=offset, **columns)
     return spark.sql(text, rows=rows)
 
 
