@@ -86,7 +86,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     samples = table(spark, folder, "graded_samples")
     written = forms.fit_forms(samples.select("text"))  # the models' own spelling
-    return reading.reading_bands(documents(spark, folder), samples, written, BAND_WORDS).select("doc_id", "band")
+    return reading.reading_bands(documents(spark, folder), samples, written, BAND_WORDS, mixed=True).select("doc_id", "band")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -10,7 +10,8 @@ Only running English sentences count: pieces of text, cut at line ends and
 sentence ends, in which most words are English by the models' vocabulary and
 function words.  Headings, lists of tags, data, other languages and remarks are
 no sentences.  Documents with fewer than ``min_words`` words of sentences have
-no band and give no row; so do null and empty texts.  Repeated rows of a
+no band and give no row; so do null and empty texts and, unless ``mixed``,
+documents with more words in sentences of other languages than in English ones.  Repeated rows of a
 document give one row.
 """
 
@@ -127,9 +128,9 @@ def train(samples: list[tuple[str, int]], alpha: float = 0.1, rounds: int = 3) -
     return model
 
 
-def grade(text: str, model: BandModels) -> tuple[int | None, int, int]:
+def grade(text: str, model: BandModels, mixed: bool = False) -> tuple[int | None, int, int]:
     """(band, words, sentences) of a text; band is None for a text without English sentences
-    or with more words in sentences of other languages."""
+    or, unless ``mixed``, with more words in sentences of other languages."""
     cut = [(p, words) for p in pieces(text) if (words := words_of(p))]
     if not cut:
         return None, 0, 0
@@ -138,7 +139,7 @@ def grade(text: str, model: BandModels) -> tuple[int | None, int, int]:
     if not seen:
         return None, 0, 0
     foreign = sum(len(w) for (p, w), e in zip(cut, english, strict=True) if not e and len(w) >= 5 and not DATA.search(p))
-    if foreign > seen:
+    if foreign > seen and not mixed:
         return None, seen, int(english.sum())
     votes = np.bincount(scores[english].argmax(axis=1), minlength=len(model.bands))
     total = scores[english].sum(axis=0)
@@ -146,7 +147,7 @@ def grade(text: str, model: BandModels) -> tuple[int | None, int, int]:
     return model.bands[best], seen, int(english.sum())
 
 
-def reading_bands(corpus: DataFrame, samples: DataFrame, written: dict[str, str], min_words: int = 60, max_samples: int = 20_000) -> DataFrame:
+def reading_bands(corpus: DataFrame, samples: DataFrame, written: dict[str, str], min_words: int = 60, max_samples: int = 20_000, mixed: bool = False) -> DataFrame:
     """(doc_id, band, words, sentences) of each gradable document (doc_id, text).  The models
     are fitted on at most ``max_samples`` labelled rows (text, band); more rows raise."""
     labelled = [(r.text, r.band) for r in samples.select("text", "band").distinct().limit(max_samples + 1).collect()]
@@ -162,7 +163,7 @@ def reading_bands(corpus: DataFrame, samples: DataFrame, written: dict[str, str]
             rows = []
             for key, text in zip(batch["doc_id"], batch["text"], strict=True):
                 if isinstance(text, str):
-                    band, words, sentences = grade(same(text), bands)
+                    band, words, sentences = grade(same(text), bands, mixed)
                     if band is not None and words >= min_words:
                         rows.append((key, band, words, sentences))
             if rows:
