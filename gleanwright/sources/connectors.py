@@ -1,9 +1,10 @@
 """Connectors: a paged Data Source over a fetcher, replay of saved responses, plugin registry.
 
 A connector is a fetcher ``(seed, token) -> (rows, next_token)``.  Each seed is
-a partition; pages of a seed follow each other and stop at the end, at a
-repeated token or at the page budget.  Network fetchers are injected; here only
-replay of saved responses is built in.
+a partition; pages of a seed follow each other and stop at the end.  A page that
+names itself as the next is the last.  A token of an earlier page, or more pages
+than the budget, raise: a seed comes whole or not at all.  Network fetchers are
+injected; here only replay of saved responses is built in.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ def pages(fetch: Callable[[str, str | None], tuple[list, str | None]], seed: str
     for page in range(budget):
         rows, following = fetch(seed, token)
         yield page, rows
-        if not following or following in seen:
+        if not following or following == token:
             return
+        if following in seen:
+            raise ValueError(f"seed {seed}: page {page} goes back to token {following}")
         seen.add(following)
         token = following
+    raise ValueError(f"seed {seed} has more than {budget} pages: raise the option pages")
 
 
 class Replay:
