@@ -28,17 +28,19 @@ from pyspark.sql import functions as F
 
 from gleanwright.session import checkpointed
 
-# Letters of other scripts that have the shape of a Latin letter
-# (a selection of the public Unicode confusables), grouped by the Latin letter.
+# Letters of other scripts that have the shape of a Latin or Greek letter:
+# single letters of Greek, Cyrillic, Armenian, Cherokee, Coptic and Lisu that the public
+# Unicode confusables join, less those that only resemble each other (α and a, У and Y).
 SAME_SHAPE = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "G": "ԌᏀ", "H": "ΗНᎻ",
-    "I": "ΙІӀ", "J": "ЈͿᎫ", "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷ", "N": "Ν", "O": "ΟОՕ",
-    "P": "ΡРᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ΤТᎢ", "V": "ѴᏙ", "W": "ԜᎳ",
-    "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "і", "j": "јϳ",
-    "n": "ո", "o": "οоօ", "p": "ρр", "q": "ԛզ", "s": "ѕ", "u": "ս", "v": "νѵ", "w": "ԝ",
-    "x": "х", "y": "уү",
-    "Γ": "Г", "Π": "П", "Φ": "Ф",
+    "A": "ΑАᎪꓮ", "B": "ΒВᏴꓐ", "C": "СϹᏟⲤꓚ", "D": "Ꭰꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻⲎꓧ",
+    "I": "ΙІӀⲒꓲ", "J": "ЈͿᎫꓙ", "K": "ΚКᏦⲔꓗ", "L": "ᏞⳐꓡ", "M": "ΜМᎷϺⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ",
+    "P": "ΡРᏢⲢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚᏕꓢ", "T": "ΤТᎢⲦꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳᏔꓪ",
+    "X": "ΧХⲬꓫ", "Y": "ΥҮⲨꓬ", "Z": "ΖᏃꓜ",
+    "a": "а", "c": "сϲⲥꮯ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іꭵ", "j": "јϳ", "l": "ӏ",
+    "n": "ո", "o": "οоօⲟ", "p": "ρрⲣ", "q": "ԛզ", "s": "ѕꮪ", "u": "ս", "v": "νѵꮩ", "w": "ԝꮃ",
+    "x": "х", "y": "уү", "z": "ꮓ",
+    "Æ": "Ӕ", "æ": "ӕ", "Ə": "Ә", "ə": "ә", "Ɵ": "Ө", "ɵ": "ө", "Þ": "Ϸ", "þ": "ϸ", "Ɔ": "Ͻꓛ", "Ǝ": "ꓱ", "Ɛ": "Ԑ", "ɛ": "ԑ", "ĸ": "кⲕ",
+    "Γ": "ГⲄ", "Δ": "Ⲇ", "Λ": "Ʌꓥ", "Π": "ПⲠ", "Σ": "Ʃ", "Φ": "ФⲪ", "Ψ": "ѰⲮ", "ω": "ⲱ", "И": "Ͷ", "Є": "Ⲉ", "є": "ⲉ",
 }
 # Line breaks other than the line feed; a pair counts as one.
 LINE_BREAKS = ("\r\n", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029")
