@@ -5,9 +5,10 @@ into words by the vocabulary's pattern; words not met before by the task become
 token-position rows, and one recursive query contracts in every word the
 left-most pair of minimum rank until no pair is left (all disjoint occurrences
 of that pair in one step: a pair that holds a just-made token always ranks
-higher, so the result is the same).  Ordered aggregation gives the ids of each
-word, a lookup those of each text.  No shuffle; a bounded memory of word ids is
-kept between batches.
+higher, so the result is the same).  The query keeps one row for each byte of a
+word, whatever the number of steps, so words of any length take it.  Ordered
+aggregation gives the ids of each word, a lookup those of each text.  No
+shuffle; a bounded memory of word ids is kept between batches.
 
 Every byte is a token, so any text can be encoded; decoding gives it back.
 Empty and null texts give an empty list.  Special tokens are ordinary text.
@@ -22,15 +23,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LONG_WORD = 1000  # code points; longer words are contracted step by step
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# One contraction of every unfinished word: state(step, word, pos, tok) to the next step.
-STEP = """
-    WITH paired AS (
-      SELECT step, word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM state
+# Every step contracts each unfinished word once; a byte whose token went into the one before it
+# keeps its row without a token.  A finished word yields no row and so stays as it is.
+CONTRACT = """
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+  SELECT word, pos, tok FROM cut
+  UNION ALL
+  (WITH paired AS (
+      SELECT word, pos, tok, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS following FROM state WHERE tok IS NOT NULL
     ), ranked AS (
       SELECT p.*, m.made, min(m.made) OVER (PARTITION BY p.word) AS least FROM paired p LEFT JOIN merges m ON m.a = p.tok AND m.b = p.following
     ), hits AS (
@@ -42,16 +46,9 @@ STEP = """
     ), marked AS (
       SELECT *, coalesce(lag(takes) OVER (PARTITION BY word ORDER BY pos), false) AS taken FROM chosen
     )
-    SELECT step + 1 AS step, word, pos, CASE WHEN takes THEN least ELSE tok END AS tok FROM marked WHERE NOT taken
-"""
-CONTRACT = f"""
-WITH RECURSIVE state(step, word, pos, tok) AS (
-  SELECT 0, word, pos, tok FROM cut
-  UNION ALL
-  ({STEP})
+    SELECT word, pos, CASE WHEN taken THEN NULL WHEN takes THEN least ELSE tok END AS tok FROM marked)
 )
-SELECT word, list(tok ORDER BY pos) AS ids FROM state
-WHERE (word, step) IN (SELECT (word, max(step)) FROM state GROUP BY word) GROUP BY word
+SELECT word, list(tok ORDER BY pos) AS ids FROM state WHERE tok IS NOT NULL GROUP BY word
 """
 
 
@@ -88,7 +85,7 @@ class Encoder:
         self.byte_ids = [ranks[bytes([x])] for x in range(256)]
         self.pattern = regex.compile(PATTERN)
         self.pa, self.known, self.remembered = pa, {}, remembered
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
         merges = list(zip(*merge_rows(ranks), strict=True))
         self.db.register("merge_rows", pa.table({k: pa.array(v, pa.int32()) for k, v in zip(("a", "b", "made"), merges, strict=True)}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
@@ -115,18 +112,8 @@ class Encoder:
             tokens.extend(self.byte_ids[x] for x in data)
         pa, db = self.pa, self.db
         db.register("cut", pa.table({"word": pa.array(which, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tokens, pa.int32())}))
-        if max(map(len, words)) <= LONG_WORD:
-            for k, ids in db.execute(CONTRACT).fetchall():
-                self.known[words[k]] = ids
-        else:  # the same steps, without keeping the passed ones
-            db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT 0 AS step, word, pos, tok FROM cut")
-            while True:
-                db.execute(f"CREATE OR REPLACE TEMP TABLE after AS {STEP}")
-                if not db.execute("SELECT count(*) FROM after").fetchall()[0][0]:
-                    break
-                db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM after UNION ALL SELECT * FROM state WHERE word NOT IN (SELECT word FROM after)")
-            for k, ids in db.execute("SELECT word, list(tok ORDER BY pos) FROM state GROUP BY word").fetchall():
-                self.known[words[k]] = ids
+        for k, ids in db.execute(CONTRACT).fetchall():
+            self.known[words[k]] = ids
         db.unregister("cut")
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:

@@ -20,7 +20,7 @@ def judge():
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(1)
-    odd = ["", " ", "\n\n  x", "aaaaaaaaaaaaaaaa aaa", "<|endoftext|> hi", "it's we'll THEY'RE", "日本語のテスト", "👩‍🎤🔥🔥", "á​", "12345 6.7", "\x00\x01", "  \t \r\n", "e" * 900, "ab" * 1500, "don't#tag"]
+    odd = ["", " ", "\n\n  x", "aaaaaaaaaaaaaaaa aaa", "<|endoftext|> hi", "it's we'll THEY'RE", "日本語のテスト", "👩‍🎤🔥🔥", "á​", "12345 6.7", "\x00\x01", "  \t \r\n", "e" * 900, "ab" * 1500, "don't#tag", "".join(rng.choices("abcdefghij", k=1001)), "x" * 30_000]
     return odd + ["".join(chr(rng.choice((rng.randrange(32, 127), rng.randrange(160, 1200), rng.randrange(0x4E00, 0x4F00), 32, 10))) for _ in range(200)) for _ in range(40)]
 
 
