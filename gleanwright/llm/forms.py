@@ -36,10 +36,11 @@ SAME_SHAPE = {
     "I": "ΙІӀⲒꓲ", "J": "ЈͿᎫꓙ", "K": "ΚКᏦⲔꓗ", "L": "ᏞⳐꓡ", "M": "ΜМᎷϺⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ",
     "P": "ΡРᏢⲢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏚᏕꓢ", "T": "ΤТᎢⲦꓔ", "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳᏔꓪ",
     "X": "ΧХⲬꓫ", "Y": "ΥҮⲨꓬ", "Z": "ΖᏃꓜ",
-    "a": "а", "c": "сϲⲥꮯ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іꭵ", "j": "јϳ", "l": "ӏ",
+    "a": "а", "c": "сϲⲥꮯ", "d": "ԁ", "e": "е", "g": "ցɡ", "h": "һհ", "i": "іꭵ", "j": "јϳ", "l": "ӏ",
     "n": "ո", "o": "οоօⲟ", "p": "ρрⲣ", "q": "ԛզ", "s": "ѕꮪ", "u": "ս", "v": "νѵꮩ", "w": "ԝꮃ",
     "x": "х", "y": "уү", "z": "ꮓ",
     "Æ": "Ӕ", "æ": "ӕ", "Ə": "Ә", "ə": "ә", "Ɵ": "Ө", "ɵ": "ө", "Þ": "Ϸ", "þ": "ϸ", "Ɔ": "Ͻꓛ", "Ǝ": "ꓱ", "Ɛ": "Ԑ", "ɛ": "ԑ", "ĸ": "кⲕ",
+    "ᴀ": "ꭺ", "ʙ": "в", "ᴅ": "ꭰ", "ᴇ": "ꭼ", "ʜ": "нꮋ", "ᴊ": "ꭻ", "ʟ": "ꮮ", "ᴍ": "мꮇ", "ᴘ": "ꮲ", "ʀ": "ꭱ", "ᴛ": "тꭲ",
     "Γ": "ГⲄ", "Δ": "Ⲇ", "Λ": "Ʌꓥ", "Π": "ПⲠ", "Σ": "Ʃ", "Φ": "ФⲪ", "Ψ": "ѰⲮ", "ω": "ⲱ", "И": "Ͷ", "Є": "Ⲉ", "є": "ⲉ",
 }
 # Line breaks other than the line feed; a pair counts as one.
@@ -113,6 +114,8 @@ def equivalences() -> Iterator[tuple[str, str]]:
                 yield c, unicodedata.normalize("NFD", parts)
             elif tag == "<compat>" and len(parts) > 1 and kind[0] == "L" and letters:
                 yield c, unicodedata.normalize("NFD", parts)  # ligatures and digraphs
+            elif tag == "<noBreak>" or (tag == "<compat>" and len(parts) == 1 and (kind == "Nl" or c == "µ")):
+                yield c, parts  # unbreakable hyphens, number letters of one letter, the micro sign
 
 
 @lru_cache(maxsize=1)
@@ -264,33 +267,42 @@ def form(text: Column, written: dict[str, str]) -> Column:
     return rewrite(text)
 
 
+def spelled(records: DataFrame, written: dict[str, str]) -> DataFrame:
+    """(id, key, spelling), distinct: digests of each text's form and of the text itself.
+    Forms are made once and kept, since what follows reads them several times."""
+    digest = lambda c: F.md5(F.encode(c, "UTF-8"))
+    return checkpointed(records.where(F.col("text").isNotNull()).select("id", digest(form(F.col("text"), written)).alias("key"), digest(F.col("text")).alias("spelling")).distinct())
+
+
 def look_alike_pairs(records: DataFrame, written: dict[str, str], rows_per_salt: int = 4096) -> DataFrame:
     """(id_a, id_b): records (id, text) with different ids whose texts look the same and are
     not the same characters.  Null texts take no part, repeated rows count once.
 
-    Only keys (digests of the form) with several spellings are paired; a key of many rows is
-    salted, so that no task holds more than ``rows_per_salt`` rows of its left side."""
-    # Forms are made once: what follows reads their digests twice.
-    keyed = checkpointed(records.where(F.col("text").isNotNull()).select(
-        "id", F.md5(F.encode(form(F.col("text"), written), "UTF-8")).alias("key"), F.md5(F.encode("text", "UTF-8")).alias("spelling")
-    ).distinct())
-    split = (
-        keyed.groupBy("key").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi").select("key", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts"))
-    )
-    several = keyed.join(split, "key")
-    left = several.select("key", F.col("id").alias("id_a"), F.col("spelling").alias("spelling_a"), F.expr("int(pmod(xxhash64(id), salts))").alias("salt"))
-    right = several.select("key", F.col("id").alias("id_b"), F.col("spelling").alias("spelling_b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
-    pairs = left.join(right, ["key", "salt"]).where("id_a < id_b AND spelling_a <> spelling_b")
-    return pairs.select("id_a", "id_b").distinct()
+    The distinct spellings of a class are paired, copies are not; each pair of spellings is
+    then expanded into its ids, so that the work follows the rows that come out.  A spelling
+    of many ids and a class of many spellings are salted into parts of ``rows_per_salt``."""
+    keyed = spelled(records, written)
+    part = lambda c, n: F.expr(f"int(pmod(xxhash64({c}), {n}))")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    salts = lambda n: F.ceil(n / rows_per_salt).cast("int")
+    sizes = keyed.groupBy("key", "spelling").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("spellings")).where("spellings > 1").select("key", salts(F.col("spellings")).alias("splits"))
+    among = sizes.join(several, "key").select("key", "spelling", salts(F.col("n")).alias("salts"), "splits")
+    one = among.select("key", F.col("spelling").alias("spelling_a"), F.col("salts").alias("salts_a"), part("spelling", "splits").alias("split"))
+    two = among.select("key", F.col("spelling").alias("spelling_b"), F.col("salts").alias("salts_b"), every("splits").alias("split"))
+    both = one.join(two, ["key", "split"]).where("spelling_a < spelling_b").select("spelling_a", "spelling_b", every("salts_a").alias("salt_a"), "salts_b")
+    both = both.select("spelling_a", "spelling_b", "salt_a", every("salts_b").alias("salt_b"))
+    # A spelling has one form, so it alone finds its ids.
+    ids = keyed.join(among.select("spelling", "salts"), "spelling").select("spelling", "id", part("id", "salts").alias("salt"))
+    side = lambda x: ids.select(F.col("spelling").alias(f"spelling_{x}"), F.col("salt").alias(f"salt_{x}"), F.col("id").alias(f"from_{x}"))
+    pairs = both.join(side("a"), ["spelling_a", "salt_a"]).join(side("b"), ["spelling_b", "salt_b"]).where("from_a <> from_b")
+    return pairs.select(F.least("from_a", "from_b").alias("id_a"), F.greatest("from_a", "from_b").alias("id_b")).distinct()
 
 
 def look_alike_classes_of(records: DataFrame, written: dict[str, str]) -> DataFrame:
     """(id, class_id, spellings, links): one row per id and form; ``links`` counts the ids of
     the class.  Every id of the class is kept, copies are not expanded into pairs."""
-    keyed = checkpointed(records.where(F.col("text").isNotNull()).select(
-        "id", F.md5(F.encode(form(F.col("text"), written), "UTF-8")).alias("class_id"), F.md5(F.encode("text", "UTF-8")).alias("spelling")
-    ).distinct())
+    keyed = spelled(records, written).withColumnRenamed("key", "class_id")
     sizes = keyed.groupBy("class_id", "spelling").agg(F.count("*").alias("n")).groupBy("class_id").agg(
         F.count("*").alias("spellings"), F.sum("n").alias("links")
     )

@@ -75,6 +75,15 @@ def test_pairs_match_brute_force(spark, one):
     assert all(r.spellings == 2 for r in classes.values())
 
 
+def test_many_copies_of_one_text(spark):
+    """The work follows the pairs that come out, not the square of the copies."""
+    copies = spark.range(60_000).selectExpr("concat('c', id) AS id", "'tea' AS text")
+    odd = spark.createDataFrame([("x", "t\u200bea"), ("y", "t\u0435a"), ("c1", "te\u0430")], "id string, text string")
+    pairs = forms.look_alike_pairs(copies.unionAll(odd), forms.representatives(LATIN))
+    # x and y with each copy and with each other, c1's other spelling with all of them
+    assert pairs.count() == 2 * 60_000 + 1 + (60_000 - 1)
+
+
 def test_counts_and_empty_table(spark):
     frame = spark.createDataFrame([("ааa",), (None,), ("ﬁ fi",)], "text string")
     counts = {r.member: r.n for r in forms.member_counts(frame).collect()}
