@@ -37,7 +37,7 @@ FUNCTION_WORDS = frozenset(
     "while who whose why will with without would yes yet you your".split()
 )
 WORD = re.compile(r"[a-z]+(?:['’-][a-z]+)*")
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 ADDRESS = re.compile(r"\b(?:https?://|www\.)\S+")
 LEAD = re.compile(r"^(?:[\s>|*#•–-]+|\d{1,2}:\d{2}(?::\d{2})?\s+|\(?\d{1,3}[.)]\s+)+")
 DATA = re.compile(r"[#\d:;|{}\[\]\t=]")
