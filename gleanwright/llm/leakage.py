@@ -2,9 +2,10 @@
 
 A task turns its documents into word numbers (look-alike form, lower case, runs
 of letters and digits), builds the suffix array of each shard of bounded size
-and binary-searches every suffix of every test item in it.  That gives the
-longest verbatim matches and their places; matches of at least ``min_words``
-words are leaks.  Words that no test item holds cannot be part of a match, so
+and binary-searches every suffix of every test item in it.  The places that
+share most words with a suffix lie next to where it would stand, so the common
+lengths of neighbours, taken outwards from there, give the longest verbatim
+match at every place; matches of at least ``min_words`` words are leaks.  Words that no test item holds cannot be part of a match, so
 only runs of at least ``min_words`` test words enter a shard; this loses no
 match.  The corpus is read once and never shuffled; only leaks are.
 
@@ -38,6 +39,7 @@ class Items:
                 words = TERM.findall(one(text).lower())
                 sequences.append((item, [self.number.setdefault(w, len(self.number) + 1) for w in words]))
         starts = [(item, words[k:]) for item, words in sequences for k in range(len(words) - min_words + 1)]
+        starts.sort(key=lambda x: x[1][:min_words])  # those of one beginning together
         self.depth = max([min_words, *(len(w) for _, w in starts)])
         self.item = np.array([i for i, _ in starts], dtype=np.int64)
         self.suffix = np.zeros((len(starts), self.depth), dtype=np.int32)  # 0 ends a suffix
@@ -84,26 +86,59 @@ def _bounds(x: np.ndarray, order: np.ndarray, queries: np.ndarray, above: bool)
     return low
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many words the rows of two tables share from their beginning; 0 is no word."""
+    differs = (x != y) | (x == 0)
+    return np.where(differs.any(axis=1), differs.argmax(axis=1), x.shape[1])
+
+
+def neighbours(padded: np.ndarray, span: np.ndarray, depth: int, rows: int = 65536) -> np.ndarray:
+    """Common lengths of each two neighbours of a stretch of the suffix array."""
+    blocks = [span[k : k + rows + 1] for k in range(0, max(len(span) - 1, 0), rows)]
+    return np.concatenate([np.empty(0, np.int64), *(_common(_windows(padded, b[:-1], depth), _windows(padded, b[1:], depth)) for b in blocks)])
+
+
+def lengths_from(spot: int, before: int, after: int, near: np.ndarray, n: int) -> np.ndarray:
+    """Common length of a suffix with every place of a stretch of ``n`` places, when it would stand
+    at ``spot`` and shares ``before`` and ``after`` words with the places left and right of it."""
+    left = np.minimum.accumulate(np.concatenate([[before], near[: max(spot - 1, 0)][::-1]]))[::-1] if spot else np.empty(0, np.int64)
+    right = np.minimum.accumulate(np.concatenate([[after], near[spot:]])) if spot < n else np.empty(0, np.int64)
+    return np.concatenate([left, right]).astype(np.int64)
+
+
 def shard_leaks(keys: np.ndarray, x: np.ndarray, owner: np.ndarray, place: np.ndarray, items: Items, min_words: int) -> pd.DataFrame:
     """(key, item_id, words, start): the longest match of each document and item in a shard.
     x: word numbers with 0 between runs; owner: index of the document; place: word position."""
-    order = suffix_array(x, min_words)
+    order = suffix_array(x, items.depth)
     padded = np.concatenate([x, np.zeros(items.depth, dtype=x.dtype)])
     heads, of_head = np.unique(items.suffix[:, :min_words], axis=0, return_inverse=True)
+    of_head = of_head.ravel()
     low, high = _bounds(padded, order, heads, False), _bounds(padded, order, heads, True)
-    found: list[pd.DataFrame] = []
-    for row in np.flatnonzero((high > low)[of_head.ravel()]):
-        span = order[low[of_head.ravel()[row]] : high[of_head.ravel()[row]]]
-        for start in range(0, len(span), 65536):
-            at = span[start : start + 65536]
-            same = (_windows(padded, at, items.depth) == items.suffix[row]) & (items.suffix[row] > 0)
-            length = np.where(same.all(axis=1), items.depth, (~same).argmax(axis=1))
-            found.append(pd.DataFrame({"key": owner[at], "item_id": items.item[row], "words": length, "start": place[at]}))
-    if not found:
-        return pd.DataFrame({"key": [], "item_id": [], "words": [], "start": []})
-    all_ = pd.concat(found).sort_values(["key", "item_id", "words", "start"], ascending=[True, True, False, True])
-    best = all_.drop_duplicates(["key", "item_id"])
-    return best.assign(key=keys[best["key"].to_numpy()])
+    shared = np.flatnonzero((high > low)[of_head])  # suffixes with at least min_words words in the shard
+    stands = _bounds(padded, order, items.suffix[shared], False)
+    found, held = [np.empty((4, 0), dtype=np.int64)], 0
+    head, span, near = -1, order[:0], order[:0]
+    for row, spot in zip(shared, stands, strict=True):
+        if of_head[row] != head:
+            head = of_head[row]
+            span = order[low[head] : high[head]]
+            near = neighbours(padded, span, items.depth)
+        at = int(spot - low[head])
+        beside = [span[k] if 0 <= k < len(span) else None for k in (at - 1, at)]
+        before, after = (int(_common(_windows(padded, np.array([k]), items.depth), items.suffix[row : row + 1])[0]) if k is not None else 0 for k in beside)
+        found.append(np.stack([owner[span], np.full(len(span), items.item[row]), lengths_from(at, before, after, near, len(span)), place[span]]))
+        held += len(span)
+        if held > 1 << 20:
+            found, held = [_longest(np.concatenate(found, axis=1))], 0
+    key, item, words, start = _longest(np.concatenate(found, axis=1))
+    return pd.DataFrame({"key": keys[key], "item_id": item, "words": words, "start": start})
+
+
+def _longest(matches: np.ndarray) -> np.ndarray:
+    """The longest match of each document and item, the first of equal ones.
+    Rows: document, item, words, start."""
+    document, item, words, start = matches = matches[:, np.lexsort((matches[3], -matches[2], matches[1], matches[0]))]
+    return matches[:, np.flatnonzero(np.concatenate([[True], (np.diff(document) != 0) | (np.diff(item) != 0)])[: len(document)])]
 
 
 def leaks(corpus: DataFrame, items: DataFrame, written: dict[str, str], min_words: int = 10, shard_words: int = 1_000_000, block_characters: int = 8_000_000) -> DataFrame:
