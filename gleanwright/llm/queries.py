@@ -40,17 +40,16 @@ def tagged_rows(spark: SparkSession, folder: str) -> DataFrame:
     return media.unionAll(table(spark, folder, "videos").select(F.concat(F.lit("videos:"), "id").alias("basket"), "caption", "tags"))
 
 
-def _tags(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    rows = tagged_rows(spark, folder)
-    return together.tag_items(spread(rows), caption_forms(spark, folder)), rows.select("basket").distinct().count()
+def _tags(spark: SparkSession, folder: str) -> DataFrame:
+    return together.tag_items(spread(tagged_rows(spark, folder)), caption_forms(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return together.strong_pairs(*_tags(spark, folder), MIN_SHARED, MIN_LIFT)
+    return together.strong_pairs(_tags(spark, folder), MIN_SHARED, MIN_LIFT)
 
 
 def p3_lift(spark: SparkSession, folder: str) -> DataFrame:
-    return together.pair_counts(*_tags(spark, folder))
+    return together.pair_counts(_tags(spark, folder)).drop("baskets")
 
 
 def term_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,8 +60,7 @@ def term_rows(spark: SparkSession, folder: str) -> DataFrame:
 def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
     rows = term_rows(spark, folder)
     written = forms.fit_forms(spread(rows).select(F.explode(F.array("title", "body")).alias("text")))
-    records = rows.select("record").distinct().count()
-    return vocabulary.marked(vocabulary.term_counts(rows, ["title", "body"], written), records)
+    return vocabulary.marked(vocabulary.term_counts(rows, ["title", "body"], written))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +81,11 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_spans(spark, folder).select("doc_id", "item_id")
 
 
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that remain when those that leak a test item are removed."""
+    return leakage.without_leaks(table(spark, folder, "documents").select("doc_id"), p8_spans(spark, folder))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     samples = table(spark, folder, "graded_samples")
     written = forms.fit_forms(samples.select("text"))  # the models' own spelling
@@ -90,7 +93,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_classes, p3_found, p3_lift, p5_found, p5_terms, p7_ids, p8_found, p8_spans, p9_found]
+    found = [p1_found, p1_classes, p3_found, p3_lift, p5_found, p5_terms, p7_ids, p8_found, p8_spans, p8_clean, p9_found]
     return {f.__name__: f for f in found}
 
 

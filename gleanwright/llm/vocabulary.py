@@ -1,5 +1,6 @@
 """Occurrences and records of every distinct term, with marks for rare and common ones.
 
+Repeated rows of a record are first reduced to one, with map-side combining.
 Records are hash-partitioned and ordered by identifier; every term keeps a
 last-seen counter (occurrences, records, last record), so no per-record set is
 held.  As a record lies in one partition, partial counters add up exactly: they
@@ -10,8 +11,8 @@ which bounds memory and changes no figure.
 
 Text is taken in its one look-alike form and lower case; a term is a longest
 run of letters and digits.  Repeated rows of a record are one record, whose
-text in a column is the first non-null one in the order of the columns' values.
-Null or empty texts hold no terms but their records count.
+text in a column is the greatest of its non-null ones.  Null or empty texts
+hold no terms but their records count; rows without a record count nowhere.
 """
 
 from __future__ import annotations
@@ -24,36 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanwright.llm.forms import rewriter
+from gleanwright.session import checkpointed
 
 TERM = re.compile(r"[^\W_]+")
-NO_RECORD = object()
 
 
 def terms_of(text: str) -> list[str]:
     return TERM.findall(text)
 
 
-def without_hot_copies(rows: DataFrame, columns: list[str], hot_copies: int = 10_000) -> DataFrame:
-    """The rows with exact copies of records that have more than ``hot_copies`` rows reduced to
-    one before anything is partitioned by record; other rows are as they were.  A record may
-    be delivered so often that its rows alone would be one task's whole input."""
-    kept = rows.select("record", *columns)
-    hot = kept.groupBy("record").agg(F.count("*").alias("n")).where(F.col("n") > hot_copies).select("record")
-    if hot.isEmpty():
-        return kept
-    few = kept.join(hot, "record", "left_semi").dropDuplicates(["record", *columns])
-    return kept.join(hot, "record", "left_anti").unionAll(few)
-
-
-def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], flush_terms: int = 400_000, partitions: int | None = None, hot_copies: int = 10_000) -> DataFrame:
-    """(term, occurrences, records) over rows (record, *columns)."""
-    kept = without_hot_copies(rows, columns, hot_copies)
-    spread = (kept.repartition(partitions, "record") if partitions else kept.repartition("record")).sortWithinPartitions("record", *[F.col(c).desc_nulls_last() for c in columns])
+def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], flush_terms: int = 400_000, partitions: int | None = None) -> DataFrame:
+    """(term, occurrences, records) over rows (record, *columns); the row with a null term has
+    the number of all records as ``records``."""
+    kept = rows.where(F.col("record").isNotNull())
+    kept = kept.repartition(partitions, "record") if partitions else kept
+    # One row per record, combined before the shuffle; the sort by record is the one of the grouping.
+    single = kept.groupBy("record").agg(*[F.max(c).alias(c) for c in columns]).sortWithinPartitions("record")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = rewriter(written)
-        seen: dict[str, list] = {}
-        last, taken = NO_RECORD, set()
+        seen: dict[str | None, list] = {}
 
         def handed() -> pd.DataFrame:
             out = pd.DataFrame(
@@ -64,17 +55,12 @@ def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], fl
             return out
 
         for batch in batches:
-            values = [batch[c] for c in columns]
-            for at, record in enumerate(batch["record"]):
-                if record != last:
-                    last, taken = record, set()
-                    if len(seen) > flush_terms:
-                        yield handed()
-                for k, column in enumerate(values):
-                    text = column.iat[at]
-                    if k in taken or not isinstance(text, str):
+            total = seen.setdefault(None, [0, 0, None])
+            total[1] += len(batch)
+            for record, *texts in zip(batch["record"], *[batch[c] for c in columns], strict=True):
+                for text in texts:
+                    if not isinstance(text, str):
                         continue
-                    taken.add(k)
                     for term in TERM.findall(one(text).lower()):
                         counter = seen.get(term)
                         if counter is None:
@@ -84,19 +70,23 @@ def term_counts(rows: DataFrame, columns: list[str], written: dict[str, str], fl
                             if counter[2] != record:
                                 counter[1] += 1
                                 counter[2] = record
+                if len(seen) > flush_terms:
+                    yield handed()
         if seen:
             yield handed()
 
-    partial = spread.mapInPandas(count, "term string, occurrences bigint, records bigint")
+    partial = single.mapInPandas(count, "term string, occurrences bigint, records bigint")
     return partial.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def marked(counts: DataFrame, records: int, rare: int = 1, common_share: tuple[int, int] = (1, 5)) -> DataFrame:
-    """Adds ``mark``: ``rare`` in at most ``rare`` records, ``common`` in more than the share of
+def marked(counts: DataFrame, rare: int = 1, common_share: tuple[int, int] = (1, 5)) -> DataFrame:
+    """``term_counts`` with ``mark``: ``rare`` in at most ``rare`` records, ``common`` in more than the share of
     all records, null between.  A term that is both (tiny collections) is marked twice."""
     top, bottom = common_share
+    counted = checkpointed(counts)  # read twice: the number of records, and the terms
+    records = counted.where("term IS NULL").agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first().n
     is_common = F.col("records") * bottom > records * top
     marks = F.filter(
         F.array(F.when(F.col("records") <= rare, "rare"), F.when(is_common, "common")), lambda x: x.isNotNull()
     )
-    return counts.select("term", "occurrences", "records", F.explode_outer(marks).alias("mark"))
+    return counted.where("term IS NOT NULL").select("term", "occurrences", "records", F.explode_outer(marks).alias("mark"))
