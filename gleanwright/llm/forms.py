@@ -270,7 +270,7 @@ def form(text: Column, written: dict[str, str]) -> Column:
 def spelled(records: DataFrame, written: dict[str, str]) -> DataFrame:
     """(id, key, spelling), distinct: digests of each text's form and of the text itself.
     Forms are made once and kept, since what follows reads them several times."""
-    digest = lambda c: F.md5(F.encode(c, "UTF-8"))
+    digest = lambda c: F.unhex(F.md5(F.encode(c, "UTF-8")))
     return checkpointed(records.where(F.col("text").isNotNull()).select("id", digest(form(F.col("text"), written)).alias("key"), digest(F.col("text")).alias("spelling")).distinct())
 
 
@@ -281,13 +281,15 @@ def look_alike_pairs(records: DataFrame, written: dict[str, str], rows_per_salt:
     The distinct spellings of a class are paired, copies are not; each pair of spellings is
     then expanded into its ids, so that the work follows the rows that come out.  A spelling
     of many ids and a class of many spellings are salted into parts of ``rows_per_salt``."""
-    keyed = spelled(records, written)
+    every_form = spelled(records, written)
+    several = every_form.groupBy("key").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo <> hi").select("key")
+    keyed = every_form.join(several, "key", "left_semi")
     part = lambda c, n: F.expr(f"int(pmod(xxhash64({c}), {n}))")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
     salts = lambda n: F.ceil(n / rows_per_salt).cast("int")
     sizes = keyed.groupBy("key", "spelling").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.count("*").alias("spellings")).where("spellings > 1").select("key", salts(F.col("spellings")).alias("splits"))
-    among = sizes.join(several, "key").select("key", "spelling", salts(F.col("n")).alias("salts"), "splits")
+    classes = sizes.groupBy("key").agg(salts(F.count("*")).alias("splits"))
+    among = sizes.join(classes, "key").select("key", "spelling", salts(F.col("n")).alias("salts"), "splits")
     one = among.select("key", F.col("spelling").alias("spelling_a"), F.col("salts").alias("salts_a"), part("spelling", "splits").alias("split"))
     two = among.select("key", F.col("spelling").alias("spelling_b"), F.col("salts").alias("salts_b"), every("splits").alias("split"))
     both = one.join(two, ["key", "split"]).where("spelling_a < spelling_b").select("spelling_a", "spelling_b", every("salts_a").alias("salt_a"), "salts_b")
@@ -306,4 +308,4 @@ def look_alike_classes_of(records: DataFrame, written: dict[str, str]) -> DataFr
     sizes = keyed.groupBy("class_id", "spelling").agg(F.count("*").alias("n")).groupBy("class_id").agg(
         F.count("*").alias("spellings"), F.sum("n").alias("links")
     )
-    return keyed.select("id", "class_id").distinct().join(sizes, "class_id").select("id", "class_id", "spellings", "links")
+    return keyed.select("id", "class_id").distinct().join(sizes, "class_id").select("id", F.lower(F.hex("class_id")).alias("class_id"), "spellings", "links")
