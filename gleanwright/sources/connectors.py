@@ -1,9 +1,8 @@
 """Connectors: a paged Data Source over a fetcher, replay of saved responses, plugin registry.
 
 A connector is a fetcher ``(seed, token) -> (rows, next_token)``.  Each seed is
-a partition; pages of a seed follow each other and stop at the end.  A page that
-names itself as the next is the last.  A token of an earlier page, or more pages
-than the budget, raise: a seed comes whole or not at all.  Network fetchers are
+a partition; pages of a seed follow each other and stop at the end.  A token met
+before, or more pages than the budget, raise: a seed comes whole or not at all.  Network fetchers are
 injected; here only replay of saved responses is built in.
 """
 
@@ -20,11 +19,11 @@ SCHEMA = "seed string, page int, position int, row string"
 
 
 def pages(fetch: Callable[[str, str | None], tuple[list, str | None]], seed: str, budget: int) -> Iterable[tuple[int, list]]:
-    token, seen = None, set()
+    token, seen = None, set()  # the first page has no token of its own
     for page in range(budget):
         rows, following = fetch(seed, token)
         yield page, rows
-        if not following or following == token:
+        if not following:
             return
         if following in seen:
             raise ValueError(f"seed {seed}: page {page} goes back to token {following}")
@@ -108,13 +107,17 @@ class Registry:
 
 def batch(registry: Registry, spark: SparkSession, tasks: list[dict]) -> tuple[DataFrame | None, DataFrame]:
     """Runs tasks {id, operator, options} in order: the union of their rows with ``task``, and
-    a status per task.  A failed task is ``unavailable`` and stops no other."""
+    a status per task.  A failed task is ``unavailable`` and stops no other, whether it fails as
+    its plan is made or as its rows are read: each task's rows are written once to the shared
+    folder, and read from there."""
     from pyspark.sql import functions as F
 
+    from gleanwright.session import checkpointed
+
     results, status = None, []
     for task in tasks:
         try:
-            rows = registry.get(task["operator"])(spark, **task.get("options", {})).withColumn("task", F.lit(task["id"]))
+            rows = checkpointed(registry.get(task["operator"])(spark, **task.get("options", {})).withColumn("task", F.lit(task["id"])))
             results = rows if results is None else results.unionByName(rows, allowMissingColumns=True)
             status.append((task["id"], "ok", None))
         except Exception as e:  # noqa: BLE001 - reported, not hidden
@@ -136,15 +139,28 @@ def mapped_model(rows: DataFrame, column: str, output: str, load: Callable[[], C
     return rows.mapInPandas(run, f"{fields}, `{output}` string")
 
 
-def phrases_in_answer(text: str) -> list[str]:
-    """Distinct phrases of a model's list answer, 2 to 80 characters."""
-    import re
+# Words that introduce a list in a model's answer, the signs between its items, and
+# the length of a usable phrase.
+LIST_LABELS = ("keyword", "keywords", "related", "related concept", "related concepts", "related word", "related words")
+ITEM_SIGNS = (";", ",", "|")
+PHRASE_LENGTH = (2, 80)
+
+
+def phrases_in_answer(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, phrase): the distinct phrases of each list answer, at their first place.
+
+    An item ends with its line, at a sign or before a number that counts the next one; labels,
+    bullets and outer punctuation go, blanks become single, case is folded.  Null answers and
+    items too short or too long give nothing."""
+    from pyspark.sql import functions as F
+
+    from gleanwright.functions.text import collapsed, normal
 
-    out: dict[str, None] = {}
-    for line in text.splitlines():
-        line = re.sub(r"(?i)^(?:keywords?|related(?: concepts?| words?)?)\s*:\s*", "", line.strip())
-        for item in re.split(r"\s*[;,|]\s*|\s+\d+[.)]\s+", line):
-            phrase = " ".join(re.sub(r"^[*\-•\d.)\s]+", "", item).strip(" \t,;:.!-–—\"'").split()).casefold()
-            if 2 <= len(phrase) <= 80:
-                out[phrase] = None
-    return list(out)
+    labels = "|".join(sorted(LIST_LABELS, key=len, reverse=True)).replace(" ", r"\s+")
+    bare = F.regexp_replace(F.col(text), rf"(?im)^\s*(?:{labels})\s*:", "")
+    ends = "|".join([r"\R", *(f"\\Q{c}\\E" for c in ITEM_SIGNS), r"\s(?=\d+[.)]\s)"])
+    items = answers.select(F.col(key), F.posexplode(F.split(bare, ends)).alias("position", "item"))
+    marks = r"[\s\p{Pd}\p{Po}\p{Pi}\p{Pf}`\"'*•.)]"
+    inner = F.regexp_replace(F.regexp_replace("item", r"^(?:[\s*•.)-]|\d+(?=[\d.)\s]))+", ""), f"^{marks}+|{marks}+$", "")
+    shown = items.select(key, "position", normal(collapsed(inner)).alias("phrase")).where(F.length("phrase").between(*PHRASE_LENGTH))
+    return shown.groupBy(key, "phrase").agg(F.min("position").alias("position")).select(key, "position", "phrase")

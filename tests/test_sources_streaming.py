@@ -66,14 +66,37 @@ def test_nested_documents(spark, rows):
     assert (found.phrase, found.value, found.geography) == ("song", 12.0, "GB")
     months = spark.createDataFrame([("k", {"m1": "5", "m1_month": "4", "m1_year": "2024", "m2": "7", "m2_month": "5", "m2_year": "2024", "m60": "1"})], "phrase string, slots map<string,string>")
     assert rows(records.monthly_series(months, "phrase", F.col("slots"), F.lit(dt.date(2024, 5, 20)))) == [("k", dt.date(2024, 4, 1), 5.0, True), ("k", dt.date(2024, 5, 1), 7.0, False)]
-    envelope = {"content": [{"type": "text", "text": 'Keyword data (JSON):\n{"mode": "research", "x": 1}'}, {"type": "text", "text": "hello"}]}
-    assert records.unwrapped(envelope)["x"] == 1 and records.secret_paths({"a": [{"Api_Key": 1}]}) == ["$.a[0].Api_Key"]
-    with pytest.raises(ValueError):
-        records.unwrapped({"content": []})
+    assert records.secret_paths({"a": [{"Api_Key": 1}]}) == ["$.a[0].Api_Key"]
+
+
+def test_keyword_payloads(spark):
+    block = lambda mode, mark="": {"type": "text", "text": mark + json.dumps({"mode": mode, "x": 1})}
+    documents = {
+        "bare": {"mode": "rising"}, "wrapped": {"content": [block("research", "Keyword data (JSON):\n"), {"type": "text", "text": "hello"}, {"type": "image"}]},
+        "structured": {"structuredContent": {"mode": "questions", "x": 2}}, "inner": {"structuredContent": {"content": [block("country_top")]}}, "failed": {"isError": True, "mode": "research"},
+        "none": {"content": []}, "two": {"content": [block("rising"), block("research")]}, "other": {"mode": "guess"}, "foreign": {"content": [block("guess"), block("rising")]}, "no array": {"content": "x"}, "list": [1],
+    }
+    data = [(k, json.dumps(v)) for k, v in documents.items()] + [("text", "no json"), ("null", None)]
+    got = {r.k: (r.mode, r.x, r.problem) for r in records.keyword_payloads(spark.createDataFrame(data, "k string, t string"), "k", "t").select("k", "mode", F.try_variant_get("payload", "$.x", "int").alias("x"), "problem").collect()}
+    assert got == {
+        "bare": ("rising", None, None), "wrapped": ("research", 1, None), "structured": ("questions", 2, None), "inner": ("country_top", 1, None), "failed": (None, None, "failed-call"), "none": (None, None, "not-one-payload"),
+        "two": (None, None, "not-one-payload"), "other": (None, None, "unknown-mode"), "foreign": ("rising", 1, None), "no array": (None, None, "content-no-array"), "list": (None, None, "no-object"), "text": (None, None, "no-object"), "null": (None, None, "no-object"),
+    }
+
+
+def test_listings_that_are_none(spark):
+    deep = {"kind": "t1", "data": {"id": "z"}}
+    for n in range(30):
+        deep = {"kind": "t1", "data": {"id": f"n{n}", "replies": {"kind": "Listing", "data": {"children": [deep]}}}}
+    data = [(1, json.dumps(deep)), (2, None), (3, '{"kind": "Listing", "data": {"children": []}}'), (4, '{"kind": "t5", "id": "s", "meta": {"a": 1}}')]
+    got = records.listing_things(spark.createDataFrame(data, "k int, t string"), "k", "t").orderBy("k", "position").collect()
+    assert [(r.k, r.depth) for r in got] == [(1, d) for d in range(31)] + [(4, 0)] and json.loads(got[-1].data)["meta"] == {"a": 1}
+    with pytest.raises(Exception, match="neither a listing nor a thing"):
+        records.listing_things(spark.createDataFrame([(1, '{"a": [1]}')], "k int, t string"), "k", "t").collect()
 
 
 def test_connector_replay_and_batch(spark, tmp_path, rows):
-    for seed, pages in {"song": [(["a", "b"], "1"), (["c"], "1")], "demo": [(["d"], None)]}.items():
+    for seed, pages in {"song": [(["a", "b"], "1"), (["c"], None)], "demo": [(["d"], None)]}.items():
         (tmp_path / seed).mkdir()
         for n, (found, following) in enumerate(pages):
             (tmp_path / seed / f"{n}.json").write_text(json.dumps({"rows": found, "next": following}))
@@ -83,11 +106,14 @@ def test_connector_replay_and_batch(spark, tmp_path, rows):
     registry.add("one", "a row", lambda s, n=1: s.range(n).toDF("x"))
     registry.add("one", "ignored", None)
     registry.add("bad", "fails", lambda s: 1 / 0)
-    found, status = connectors.batch(registry, spark, [{"id": "t1", "operator": "one", "options": {"n": 2}}, {"id": "t2", "operator": "bad"}, {"id": "t3", "operator": "none"}])
-    assert found.count() == 2 and [r.status for r in status.orderBy("task").collect()] == ["ok", "unavailable", "unavailable"] and registry.describe(spark).count() == 2
+    registry.add("late", "fails when read", lambda s: s.range(3).select(F.assert_true(F.col("id") < 2).cast("string").alias("x")))
+    found, status = connectors.batch(registry, spark, [{"id": "t1", "operator": "one", "options": {"n": 2}}, {"id": "t2", "operator": "bad"}, {"id": "t3", "operator": "none"}, {"id": "t4", "operator": "late"}, {"id": "t5", "operator": "one"}])
+    assert found.count() == 3 and [r.status for r in status.orderBy("task").collect()] == ["ok", "unavailable", "unavailable", "unavailable", "ok"] and registry.describe(spark).count() == 3
     model = connectors.mapped_model(spark.createDataFrame([("a",), ("b",)], "t string"), "t", "answer", lambda: lambda xs: [x.upper() for x in xs])
     assert sorted(r.answer for r in model.collect()) == ["A", "B"]
-    assert connectors.phrases_in_answer("Keywords: Song, demo\n1. Quiet  clip; x\n- demo") == ["song", "demo", "quiet clip"]
+    answers = spark.createDataFrame([(1, "Keywords: Song, demo\n1. Quiet  clip; x\n- demo"), (2, "related words: STRASSE | straße 2) 'two words.' 3) 4k video, " + "y" * 81), (3, None), (4, "")], "k int, t string")
+    got = connectors.phrases_in_answer(answers, "k", "t").orderBy("k", "position").collect()
+    assert [(r.k, r.phrase) for r in got] == [(1, "song"), (1, "demo"), (1, "quiet clip"), (2, "strasse"), (2, "two words"), (2, "4k video")]
 
 
 def test_sinks(spark, tmp_path):
