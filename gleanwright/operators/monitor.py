@@ -1,15 +1,22 @@
 """The monitor: observations, watches, coverage, alerts, due dates, upkeep.
 
 Observations are append-only and identified by content; reads are as of a time.
-A watch's null field is a wildcard.  Joins of watches with observations have an
-equality part (subject and platform) and the wildcards as residual.  Rule lists
-are ordered: the first that holds names the row.
+A watch's null field is a wildcard.  Watches fall into patterns by the fields
+that they name, at most 256; an observation has one key for each pattern that
+occurs, and watches meet observations by one hash join on pattern and key.  Rule
+lists are ordered: the first that holds names the row.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+from operator import or_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The closed sets of the observation schema.
 KINDS = (
@@ -25,13 +32,34 @@ WATCH_FIELDS = ("phrase", "source", "metric", "unit", "scope", "window", "geogra
 SIGNATURE = ("value", "availability", "period_start", "period_end", "approximate", "censored", "completeness")
 
 
-def _fold(c: Column) -> Column:
-    return F.lower(F.trim(c))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def folded_fields(rows: pd.Series) -> pd.Series:
+    """Each text composed, trimmed and case-folded; nulls stay."""
+    known: dict[str, str] = {}
+
+    def one(v: str | None) -> str | None:
+        if v is not None and v not in known:
+            known[v] = unicodedata.normalize("NFC", v.strip()).casefold()
+        return None if v is None else known[v]
+
+    return pd.Series([None if r is None else [one(v) for v in r] for r in rows], dtype=object)
+
 
+def canonical(fields: dict[str, Column]) -> Column:
+    """The fields as JSON without blanks, by name, nulls written: one text for one content."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
-def canonical(fields: list[Column]) -> Column:
-    """A text that tells any two field lists apart."""
-    return F.concat_ws("", *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null")) for c in fields])
+
+def plain_number(value: Column) -> Column:
+    """A number as JSON writes it, whole numbers without a fraction."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e16)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(value.cast("string"))
+
+
+def iso_stamp(at: Column) -> Column:
+    """Time in UTC with its offset, a fraction only where there is one."""
+    form = lambda pattern: F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern)
+    return F.concat(form("yyyy-MM-dd'T'HH:mm:ss"), F.when(F.unix_micros(at) % 1_000_000 != 0, form(".SSSSSS")).otherwise(""), F.lit("+00:00"))
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:
@@ -52,8 +80,11 @@ def validated(rows: DataFrame, now: Column) -> DataFrame:
     """Adds ``problem`` (the first broken rule, or null), ``identity`` and ``id``."""
     r = with_defaults(rows)
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    odd = lambda c: (F.length(c) > 4000) | F.col(c).rlike(r"[\x00-\x1f]")
+    labels = [F.coalesce(odd(c), F.lit(False)) for c in ("subject", "platform", "phrase", "source", "metric", "unit", "scope", "window", "geography", "normalization_id")]
     rules = [
         (blank("phrase") | blank("source") | blank("metric"), "missing-label"),
+        (reduce(or_, labels), "overlong-or-control-label"),
         (F.col("observed_at").isNull(), "missing-capture-time"),
         (F.col("observed_at") > now, "future-capture"),
         (~F.col("evidence_kind").isin(*KINDS), "unknown-evidence-kind"),
@@ -66,10 +97,24 @@ def validated(rows: DataFrame, now: Column) -> DataFrame:
         (F.col("period_end").cast("timestamp") > F.col("observed_at"), "period-after-capture"),
     ]
     problem = F.coalesce(*[F.when(rule, F.lit(name)) for rule, name in rules])
-    dims = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("dimensions"))))
-    identity = F.sha2(canonical([dims if f == "dimensions" else _fold(F.col(f)) for f in IDENTITY_FIELDS]), 256)
-    out = r.withColumn("problem", problem).withColumn("identity", identity)
-    return out.withColumn("id", F.sha2(canonical([F.col(c) for c in ("identity", "observed_at", *SIGNATURE)]), 256))
+    dims = F.map_from_entries(F.array_sort(F.map_entries("dimensions")))
+    texts = sorted(set(IDENTITY_FIELDS) - {"dimensions"})
+    out = r.withColumn("problem", problem).withColumn("_f", folded_fields(F.array(*texts)))
+    out = out.withColumn("identity", F.sha2(canonical({"dimensions": dims} | {f: F.col("_f")[k] for k, f in enumerate(texts)}), 256)).drop("_f")
+    return out.withColumn("id", F.sha2(observation_text(out, dims), 256))
+
+
+def observation_text(rows: DataFrame, dims: Column) -> Column:
+    """The canonical JSON of an observation, of which its id is the digest.  ``value`` is a number
+    or, in a column of texts, what was displayed."""
+    fields = {f: F.trim(f) for f in IDENTITY_FIELDS if f not in ("dimensions", "evidence_kind")} | {f: F.col(f) for f in ("evidence_kind", "availability", "approximate", "censored", "completeness", "identity")}
+    fields |= {f: F.date_format(f, "yyyy-MM-dd") for f in ("period_start", "period_end")} | {"dimensions": dims, "observed_at": iso_stamp(F.col("observed_at"))}
+    fields |= {f: F.col(f) if f in rows.columns else F.lit(None).cast("string") for f in ("notes", "source_url", "capture_file", "capture_sha256", "target_surface")}
+    if dict(rows.dtypes)["value"] == "string":
+        return canonical(fields | {"value": F.col("value")})
+    before, after = {k: v for k, v in fields.items() if k < "value"}, {k: v for k, v in fields.items() if k > "value"}
+    number = F.coalesce(plain_number(F.col("value")), F.lit("null"))
+    return F.concat(F.regexp_replace(canonical(before), r"\}$", ""), F.lit(',"value":'), number, F.lit(","), F.substr(canonical(after), F.lit(2)))
 
 
 def accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,8 +132,7 @@ def as_of(rows: DataFrame, now: Column) -> DataFrame:
 
 def current_watches(versions: DataFrame) -> DataFrame:
     """The latest version of each watch, if active."""
-    last = Window.partitionBy("id").orderBy(F.col("version").desc())
-    return versions.withColumn("_n", F.row_number().over(last)).where("_n = 1 AND active").drop("_n")
+    return latest(versions, ["id"], F.col("version")).where("active").select(*versions.columns)
 
 
 def watch_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -100,46 +144,60 @@ def watch_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return fresh.select(*content, (F.coalesce("_v", F.lit(0)) + 1).alias("version"))
 
 
-def watched(watches: DataFrame, observations: DataFrame, small: bool = False) -> DataFrame:
-    """(watch_id, w_*, observation columns): every watch with the observations it matches.
-    ``small``: the caller has checked that the watches may be broadcast."""
+def watched(watches: DataFrame, observations: DataFrame) -> DataFrame:
+    """(watch_id, w_*, observation columns): every watch with the observations it matches."""
     w = watches.select(*[F.col(c).alias(f"w_{c}") for c in watches.columns]).withColumnRenamed("w_id", "watch_id")
-    on = (_fold(F.col("w_subject")) == _fold(F.col("subject"))) & (_fold(F.col("w_platform")) == _fold(F.col("platform")))
-    for f in WATCH_FIELDS:
-        if f"w_{f}" in w.columns and f in observations.columns:
-            on = on & (F.col(f"w_{f}").isNull() | (_fold(F.col(f"w_{f}")) == _fold(F.col(f))))
+    named = [f for f in WATCH_FIELDS if f in watches.columns and f in observations.columns]
+    fields = ["subject", "platform", *named]
+    pattern = sum((F.when(F.col(f"w_{f}").isNotNull(), 1 << k).otherwise(0) for k, f in enumerate(fields)), F.lit(0)).cast("int")
+    w = w.withColumn("_pattern", pattern).withColumn("_key", F.to_json(folded_fields(F.array(*[f"w_{f}" for f in fields]))))
+    # At most as many rows as there are patterns; what the array holds doesn't grow with the data.
+    patterns = w.select("_pattern").distinct().agg(F.sort_array(F.collect_list("_pattern")).alias("p"))
+    named_by = lambda x, k: F.when(F.bit_get(F.col("_pattern"), k) == 1, x)
+    o = observations.withColumn("_f", folded_fields(F.array(*fields))).withColumn("_pattern", F.explode(patterns.scalar()))
+    o = o.withColumn("_key", F.to_json(F.transform("_f", named_by))).drop("_f")
+    joined = w.join(o, ["_pattern", "_key"]).drop("_pattern", "_key")
     if "w_dimensions" in w.columns and "dimensions" in observations.columns:
-        on = on & F.forall(F.map_entries("w_dimensions"), lambda e: F.try_element_at("dimensions", e["key"]).eqNullSafe(e["value"]))
-    return (F.broadcast(w) if small else w).join(observations, on)
+        joined = joined.where(F.forall(F.map_entries("w_dimensions"), lambda e: F.try_element_at("dimensions", e["key"]).eqNullSafe(e["value"])))
+    return joined
+
+
+def signature(rows: DataFrame) -> Column:
+    return F.to_json(F.struct(*[F.col(c) for c in SIGNATURE if c in rows.columns]), {"ignoreNullFields": "false"})
 
 
 def conflicts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Captures of one identity and time with several signatures."""
-    sig = F.struct(*[F.col(c) for c in SIGNATURE if c in rows.columns])
-    return rows.groupBy(*keys, "observed_at").agg(F.count_distinct(F.to_json(sig)).alias("signatures")).where("signatures > 1")
+    return rows.groupBy(*keys, "observed_at").agg(F.count_distinct(signature(rows)).alias("signatures")).where("signatures > 1")
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+def latest(rows: DataFrame, keys: list[str], newest: Column) -> DataFrame:
+    """The row of each key with the greatest ``newest``; combined before the shuffle."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), newest).alias("_r")).select(*keys, "_r.*")
 
 
 def coverage(watches: DataFrame, observations: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
     """(watch_id, status, ages in days, counts) of every watch.
 
     Status: missing; availability; missing-value; partial; current; stale from current or
-    partial; a failed or running attempt newer than the latest row; conflicts override all."""
+    partial; a failed or running attempt newer than the latest row; conflicts override all.
+    Captures in conflict give no demand signal."""
     o = watched(watches, as_of(observations, now))
     order = F.struct("observed_at", "id")
     usable = (F.col("availability") == "observed") & F.col("value").isNotNull()
-    per = o.groupBy("watch_id").agg(
-        F.count("*").alias("observations"), F.max(order).alias("_last"), F.max_by(F.struct("availability", "value", "completeness", "observed_at"), order).alias("last"),
-        F.max_by(F.struct("observed_at", "period_end", "evidence_kind"), F.when(usable, order)).alias("good"),
-        F.max(F.when(usable & F.col("evidence_kind").isin(*DEMAND_KINDS), F.col("observed_at"))).alias("last_demand_at"),
+    sig = signature(o)
+    times = o.groupBy("watch_id", "identity", "observed_at").agg(
+        F.count("*").alias("n"), F.max(order).alias("at"), F.max_by(F.struct("availability", "value", "completeness", "observed_at"), order).alias("last"),
+        F.max(F.when(usable, order)).alias("good_at"), F.max_by(F.struct("observed_at", "period_end", "evidence_kind"), F.when(usable, order)).alias("good"),
+        F.max(F.when(usable & F.col("evidence_kind").isin(*DEMAND_KINDS), F.col("observed_at"))).alias("demand"), (F.min(sig) != F.max(sig)).alias("clash"),
+    )
+    per = times.groupBy("watch_id").agg(
+        F.sum("n").alias("observations"), F.max_by("last", "at").alias("last"), F.max_by("good", "good_at").alias("good"),
+        F.max(F.when(~F.col("clash"), F.col("demand"))).alias("last_demand_at"), F.count_if("clash").alias("conflict_groups"),
     )
-    clash = conflicts(o, ["watch_id", "identity"]).groupBy("watch_id").agg(F.count("*").alias("conflict_groups"))
     tried = attempts.where(F.col("started_at") <= now).groupBy("watch_id").agg(F.max_by(F.struct("started_at", "state"), "started_at").alias("attempt"))
     days = lambda t: (F.unix_micros(now) - F.unix_micros(t)) / F.lit(86_400_000_000)
-    joined = watches.select(F.col("id").alias("watch_id"), "freshness_days").join(per, "watch_id", "left").join(clash, "watch_id", "left").join(tried, "watch_id", "left")
+    joined = watches.select(F.col("id").alias("watch_id"), "freshness_days").join(per, "watch_id", "left").join(tried, "watch_id", "left")
     aged = joined.withColumn("capture_age", days(F.col("good.observed_at"))).withColumn("report_age", days(F.col("good.period_end").cast("timestamp")))
     state = (
         F.when(F.col("last").isNull(), "missing").when(F.col("last.availability") != "observed", F.col("last.availability"))
@@ -154,6 +212,11 @@ def coverage(watches: DataFrame, observations: DataFrame, attempts: DataFrame, n
     )
 
 
+def evidence_counts(watches: DataFrame, observations: DataFrame, now: Column) -> DataFrame:
+    """(watch_id, evidence_kind, observations) of the observations that each watch has."""
+    return watched(watches, as_of(observations, now)).groupBy("watch_id", "evidence_kind").agg(F.count("*").alias("observations"))
+
+
 def comparable_reason(a: str, b: str) -> Column:
     """Why two observations (struct columns a before b) can't be compared, or null."""
     x = lambda f: F.col(f"{a}.{f}")
@@ -194,21 +257,22 @@ def alerts(watches: DataFrame, observations: DataFrame, now: Column, acknowledge
     row that can be compared."""
     o = watched(watches, as_of(observations, now))
     fields = ("identity", "observed_at", "id", "value", "availability", "approximate", "censored", "completeness", "scope", "window", "unit", "geography", "evidence_kind", "normalization_id", "period_start", "period_end")
-    keys = ["watch_id", "identity"]
-    clash = conflicts(o, keys).select(*keys).distinct().withColumn("clash", F.lit(True))
-    # The last copy of each capture time.
-    once = latest(o.withColumn("row", F.struct(*fields)), [*keys, "observed_at"], [F.col("id").desc()])
-    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("observed_at").desc())))
-    after = ranked.where("n = 1").select(*keys, "w_min_absolute_change", "w_min_percent_change", F.col("row").alias("after"))
-    earlier = ranked.where("n > 1").select(*keys, "n", F.col("row").alias("before"))
-    paired = after.join(earlier, keys).withColumn("reason", comparable_reason("before", "after"))
+    keys, sig = ["watch_id", "identity"], signature(o)
+    # The last copy of each capture time, and whether its copies differ.
+    once = o.groupBy(*keys, "observed_at").agg(
+        F.max_by(F.struct(*fields), "id").alias("row"), (F.min(sig) != F.max(sig)).alias("clash"), F.first("w_min_absolute_change").alias("w_min_absolute_change"), F.first("w_min_percent_change").alias("w_min_percent_change")
+    )
+    newest = Window.partitionBy(*keys).orderBy(F.col("observed_at").desc())
+    ranked = once.withColumn("n", F.row_number().over(newest)).withColumn("after", F.first("row").over(newest))
+    paired = ranked.withColumn("pair", F.when(F.col("n") > 1, F.struct(F.col("row").alias("before"), comparable_reason("row", "after").alias("reason"))))
     overlap = "reporting-periods-overlap-or-are-revisions"
     chosen = paired.groupBy(*keys).agg(
-        F.max_by(F.struct("before", "reason"), F.when(F.col("n") == 2, 1)).alias("second"),
-        F.min_by(F.struct("before", "reason"), F.when(F.col("reason").isNull(), F.col("n"))).alias("older"),
+        F.first("after").alias("after"), F.first("w_min_absolute_change").alias("w_min_absolute_change"), F.first("w_min_percent_change").alias("w_min_percent_change"),
+        F.max("clash").alias("clash"), F.max_by("pair", F.when(F.col("n") == 2, 1)).alias("second"),
+        F.min_by("pair", F.when((F.col("n") > 1) & F.col("pair.reason").isNull(), F.col("n"))).alias("older"),
     )
     picked = F.when((F.col("second.reason") == overlap) & F.col("older").isNotNull(), F.col("older")).otherwise(F.col("second"))
-    full = after.join(chosen, keys, "left").join(clash, keys, "left").withColumn("p", picked)
+    full = chosen.withColumn("p", picked)
     before, now_ = F.col("p.before.value"), F.col("after.value")
     delta = now_ - before
     percent = F.try_divide(delta * 100.0, F.abs(before))
@@ -218,7 +282,7 @@ def alerts(watches: DataFrame, observations: DataFrame, now: Column, acknowledge
     )
     out = full.select(
         *keys, reason.alias("reason"), before.alias("before"), now_.alias("after"), F.when(reason.isNull(), delta).alias("delta"),
-        F.when(reason.isNull(), percent).alias("percent"), small.alias("small"), F.sha2(canonical([F.col("watch_id"), F.col("p.before.id"), F.col("after.id")]), 256).alias("alert_id"),
+        F.when(reason.isNull(), percent).alias("percent"), small.alias("small"), F.sha2(canonical({"watch_id": F.col("watch_id"), "before": F.col("p.before.id"), "after": F.col("after.id")}), 256).alias("alert_id"),
     ).where("reason IS NOT NULL OR NOT small").drop("small")
     return out.join(acknowledged.select("alert_id"), "alert_id", "left_anti") if acknowledged is not None else out
 
@@ -255,7 +319,7 @@ def pruned(rows: DataFrame, cutoff: Column, platform: str | None = None) -> Data
     """What stays after deleting rows before the cutoff (of one platform)."""
     gone = F.col("observed_at") < cutoff
     if platform is not None:
-        gone = gone & (_fold(F.col("platform")) == platform.lower())
+        gone = gone & (folded_fields(F.array("platform"))[0] == unicodedata.normalize("NFC", platform.strip()).casefold())
     return rows.where(~F.coalesce(gone, F.lit(False)))
 
 
@@ -281,20 +345,40 @@ def coverage_html(report: DataFrame, limit: int = 10_000) -> str:
     head = "".join(f"<th>{html.escape(c)}</th>" for c in report.columns)
     return f"<table><tr>{head}</tr>" + "".join(f"<tr>{cells(r)}</tr>" for r in rows) + "</table>"
 
+
 # Older names of evidence kinds.
-OLDER_KINDS = {"search_volume": "search_volume_estimate", "trend": "relative_interest", "suggestion": "language_suggestion", "performance": "property_performance", "engagement": "sampled_engagement"}
+OLDER_KINDS = {"native-autocomplete": "language_suggestion", "native-caption-language": "language_suggestion", "native-search-sample": "language_suggestion", "third-party-estimate": "search_volume_estimate"}
 
 
 def adapted(rows: DataFrame) -> DataFrame:
-    """Reviewed rows of older files: kinds renamed, unavailable values emptied, displays such as
-    ``<10`` kept as censored text.  rows: evidence_kind, availability, value STRING."""
-    names = F.create_map(*[x for k, v in OLDER_KINDS.items() for x in (F.lit(k), F.lit(v))])
-    shown, state = F.trim("value"), F.lower(F.coalesce("availability", F.lit("observed")))
-    gone = ~state.isin("observed", "available")
-    return rows.select(
-        *[c for c in rows.columns if c not in ("evidence_kind", "availability", "value")], F.coalesce(F.try_element_at(names, "evidence_kind"), "evidence_kind", F.lit("unknown")).alias("evidence_kind"),
-        F.when(gone, state).otherwise("observed").alias("availability"), F.when(~gone, shown).alias("raw"), F.when(~gone, shown.try_cast("double")).alias("value"), F.coalesce(~gone & shown.rlike(r"^[<>]\s*\d"), F.lit(False)).alias("censored"),
-    )
+    """Reviewed rows of older files under today's names.  rows: evidence_kind, availability,
+    value STRING and any other columns.
+
+    Older kinds are renamed; an estimate of a third party is approximate, and censored where
+    its display has ``<`` or ``>`` before a digit.  Language from a sample is observed; an
+    unavailable measurement has no value.  Captures given as ``unavailable`` are none.  What
+    was changed is told in ``notes``; a ``seed_keyword`` becomes a dimension."""
+    has = lambda c: c in rows.columns
+    text = lambda c: F.col(c) if has(c) else F.lit(None).cast("string")
+    kind, state, shown = F.col("evidence_kind"), F.coalesce("availability", F.lit("observed")), F.col("value")
+    newer = F.try_element_at(F.create_map(*[F.lit(x) for pair in OLDER_KINDS.items() for x in pair]), kind)
+    sampled, gone, estimate = state == "sampled-language", state.isin("unavailable", "error", "suppressed", "no-data"), F.coalesce(kind == "third-party-estimate", F.lit(False))
+    captures = {c: F.when(F.col(c) == "unavailable", None).otherwise(F.col(c)) for c in ("capture_file", "capture_sha256") if has(c)}
+    remarks = [
+        F.nullif(text("notes"), F.lit("")), F.when(newer.isNotNull(), F.concat(F.lit("Imported reviewed evidence kind: "), kind, F.lit("."))),
+        F.when(sampled, F.lit("Original availability: sampled-language; no measured demand implied.")), F.when(gone & shown.isNotNull(), F.concat(F.lit("Original unavailable display: "), shown)),
+        *[F.when(F.col(c) == "unavailable", F.lit(f"Original {c}: unavailable.")) for c in captures], F.nullif(text("limitations"), F.lit("")),
+    ]
+    changed = {
+        "evidence_kind": F.coalesce(newer, kind), "availability": F.when(sampled, "observed").otherwise(state), "value": F.when(~gone, shown), **captures, "notes": F.nullif(F.concat_ws(" ", *remarks), F.lit("")),
+        "approximate": estimate | (F.coalesce("approximate", F.lit(False)) if has("approximate") else F.lit(False)),
+        "censored": (estimate & ~gone & F.coalesce(shown.rlike(r"[<>]\s*\d"), F.lit(False))) | (F.coalesce("censored", F.lit(False)) if has("censored") else F.lit(False)),
+    }
+    if has("seed_keyword"):
+        seed = F.when(F.coalesce("seed_keyword", F.lit("")) != "", F.create_map(F.lit("seed_keyword"), F.col("seed_keyword")))
+        own = F.col("dimensions") if has("dimensions") else F.create_map().cast("map<string,string>")
+        changed["dimensions"] = F.map_zip_with(F.coalesce(own, F.create_map().cast("map<string,string>")), F.coalesce(seed, F.create_map().cast("map<string,string>")), lambda k, a, b: F.coalesce(b, a))
+    return rows.select(*[F.col(c) for c in rows.columns if c not in changed], *[v.alias(k) for k, v in changed.items()])
 
 
 def in_context(rows: DataFrame, defaults: dict[str, str], scope_fields: tuple[str, ...] = ()) -> DataFrame:

@@ -52,11 +52,47 @@ def test_rejects(spark):
 
 
 def test_identity_ignores_case_and_append_is_idempotent(spark):
-    v = monitor.validated(spark.createDataFrame([obs("Rise ", 1.0, 1), obs("rise", 1.0, 1), obs("rise", 2.0, 1)], OBS), F.lit(NOW))
+    v = monitor.validated(spark.createDataFrame([obs("rise ", 1.0, 1), obs("rise", 1.0, 1), obs("Rise", 2.0, 1)], OBS), F.lit(NOW))
     assert v.select("identity").distinct().count() == 1 and v.select("id").distinct().count() == 2
     assert monitor.new_rows(v.limit(0), v).count() == 2 and monitor.new_rows(v, v).count() == 0
 
 
+def test_identity_and_id_are_digests_of_canonical_json(spark):
+    import hashlib
+    import json
+
+    when, (a, b) = dt.datetime(2024, 5, 3, 4, 5, 6, 70), (dt.date(2024, 5, 1), dt.date(2024, 5, 2))
+    made = [obs(' Stra\u00dfe "x" ', 12.0, 1, observed_at=when, period_start=a, period_end=b), obs("Cafe\u0301", 0.25, 1, normalization_id="N1"), obs("c", None, 1, availability="no-data")]
+    frame = monitor.validated(spark.createDataFrame(made, OBS).withColumn("dimensions", F.create_map(F.lit("Lang"), F.lit("DE"), F.lit("a"), F.lit("b"))), F.lit(NOW))
+    folded = ["strasse \"x\"", "caf\u00e9", "c"]
+    text = lambda x: json.dumps(x, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    sha = lambda x: hashlib.sha256(text(x).encode()).hexdigest()
+    for r, phrase in zip(frame.collect(), folded, strict=True):
+        names = {f: r[f] for f in monitor.IDENTITY_FIELDS if f not in ("phrase", "dimensions")}
+        identity = sha({f: v.casefold() if v else v for f, v in names.items()} | {"phrase": phrase, "dimensions": {"Lang": "DE", "a": "b"}})
+        assert r.identity == identity
+        at = r.observed_at.replace(tzinfo=dt.timezone.utc).isoformat()
+        whole = names | {"phrase": r.phrase.strip(), "dimensions": {"Lang": "DE", "a": "b"}, "observed_at": at, "identity": identity, "availability": r.availability, "approximate": r.approximate, "censored": r.censored, "completeness": r.completeness}
+        whole |= {f: str(r[f]) if r[f] else None for f in ("period_start", "period_end")} | dict.fromkeys(("notes", "source_url", "capture_file", "capture_sha256", "target_surface"))
+        assert r.id == sha(whole | {"value": int(r.value) if r.value == 12 else r.value})
+
+
+def test_watches_of_all_patterns_match_brute_force(spark, stored):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    kept = [r.asDict() for r in stored.collect()]
+    fields = ("phrase", "source", "metric", "unit", "evidence_kind")
+    made = [(f"w{n}", "Band", "video", *[rng.choice([r[f].upper() for r in kept] + ["x"]) if use else None for f, use in zip(fields, pick, strict=True)]) for n, pick in enumerate(itertools.product((0, 1), repeat=5))]
+    frame = spark.createDataFrame(made, "id string, subject string, platform string, " + ", ".join(f"{f} string" for f in fields))
+    fold = lambda v: v.strip().casefold()
+    want = sorted((w[0], r["id"]) for w in made for r in kept if fold(w[1]) == fold(r["subject"]) and fold(w[2]) == fold(r["platform"]) and all(v is None or fold(v) == fold(r[f]) for f, v in zip(fields, w[3:], strict=True)))
+    found = monitor.watched(frame, stored)
+    assert sorted((r.watch_id, r.id) for r in found.select("watch_id", "id").collect()) == want and len(want) > 40
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
 def test_coverage(spark, stored, watches):
     attempts = spark.createDataFrame([("one", dt.datetime(2024, 5, 31), "error"), ("never", dt.datetime(2024, 5, 1), "running"), ("rise", dt.datetime(2024, 5, 1), "error"), ("same", dt.datetime(2024, 7, 1), "error")], ATTEMPTS)
     got = {r.watch_id: r for r in monitor.coverage(watches, stored, attempts, F.lit(NOW)).collect()}

@@ -36,8 +36,18 @@ def test_enrichment_and_actor_rows(spark, rows):
 
 
 def test_older_rows_context_plans_and_captures(spark, rows):
-    old = spark.createDataFrame([("a", "search_volume", "available", "12"), ("b", "x", "unavailable", "0"), ("c", None, None, "<10")], "p string, evidence_kind string, availability string, value string")
-    assert rows(monitor.adapted(old)) == [("a", "search_volume_estimate", "observed", "12", 12.0, False), ("b", "x", "unavailable", None, None, False), ("c", "unknown", "observed", "<10", None, True)]
+    old = spark.createDataFrame(
+        [("a", "third-party-estimate", "observed", "<10", None, "k1", "unavailable"), ("b", "native-autocomplete", "sampled-language", "3rd", "seen", None, "f.png"), ("c", "content_supply", "no-data", "0", None, None, None), ("d", "content_supply", None, "<7", None, None, None)],
+        "p string, evidence_kind string, availability string, value string, notes string, seed_keyword string, capture_file string",
+    )
+    got = {r.p: r for r in monitor.adapted(old).collect()}
+    a, b, c, d = (got[k] for k in "abcd")
+    assert (a.evidence_kind, a.availability, a.value, a.approximate, a.censored, a.capture_file, a.dimensions) == ("search_volume_estimate", "observed", "<10", True, True, None, {"seed_keyword": "k1"})
+    assert a.notes == "Imported reviewed evidence kind: third-party-estimate. Original capture_file: unavailable."
+    assert (b.evidence_kind, b.availability, b.value, b.approximate, b.capture_file, b.dimensions) == ("language_suggestion", "observed", "3rd", False, "f.png", {})
+    assert b.notes == "seen Imported reviewed evidence kind: native-autocomplete. Original availability: sampled-language; no measured demand implied."
+    assert (c.evidence_kind, c.availability, c.value, c.notes, c.censored) == ("content_supply", "no-data", None, "Original unavailable display: 0", False)
+    assert (d.availability, d.value, d.censored, d.notes) == ("observed", "<7", False, None)
     ctx = monitor.in_context(spark.createDataFrame([(None, "de")], "subject string, lang string"), {"subject": "band", "platform": "video"}, ("lang",)).first()
     assert (ctx.subject, ctx.platform, ctx.dimensions) == ("band", "video", {"lang": "de"})
     watches = spark.createDataFrame([("w", 1)], "id string, n int")
