@@ -8,7 +8,12 @@ no change.  A repeated identity on a side can't be compared; it is reported as
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
+from datetime import date
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,22 +23,32 @@ from gleanwright.functions.counts import percent_change
 
 @dataclass(frozen=True)
 class Profile:
+    """keys: what rows are joined on; same: columns that must have one value over both sides;
+    without: flags whose rows take no part; blank: flags whose rows give no change."""
+
     keys: tuple[str, ...]
     how: str = "inner"
     base: str = "signed"
     only: tuple[str, ...] = ()
     without_prefix: tuple[str, ...] = ()
     whole_days: bool = False
+    same: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+    blank: tuple[str, ...] = ()
+    whole: bool = False
+    some: bool = False
+    skips: bool = False
 
 
-# What the comparisons of the nine report families join on.
+# What the comparisons of the nine report families join on and ask for.
 PROFILES = {
-    "video-observations": Profile(("phrase", "kind", "source", "scope", "geography", "window", "metric", "unit", "definition"), without_prefix=("sample_", "occurrences")),
-    "short-video-observations": Profile(("phrase", "source", "metric", "unit", "geography", "scope", "window"), only=("reported_post_count", "reported_view_count", "estimated_search_volume")),
-    "tag-statistics": Profile(("phrase", "source", "metric", "unit", "geography")),
-    "mentions": Profile(("phrase", "relationship", "metric", "unit", "source", "geography"), "full", "positive"),
-    "search-observations": Profile(("phrase", "metric", "unit", "source", "scope", "country", "language", "window", "period"), whole_days=True),
+    "video-observations": Profile(("phrase", "kind", "source", "scope", "geography", "window", "metric", "unit", "definition"), without_prefix=("sample_", "occurrences"), without=("approximate",)),
+    "short-video-observations": Profile(("phrase", "source", "metric", "unit", "geography", "scope", "window"), only=("reported_post_count", "reported_view_count", "estimated_search_volume"), without=("approximate",), some=True),
+    "tag-statistics": Profile(("phrase", "source", "metric", "unit", "geography"), same=("comparison_scope",), without=("approximate",)),
+    "mentions": Profile(("phrase", "relationship", "metric", "unit", "source", "geography"), "full", "positive", same=("report_source", "report_scope", "country", "period", "analysis_signature"), without=("approximate",), whole=True),
+    "search-observations": Profile(("phrase", "metric", "unit", "source", "scope", "country", "language", "device", "window"), whole_days=True, blank=("approximate",), some=True),
     "panel-observations": Profile(("phrase", "source", "scope", "metric", "unit", "geography"), "full"),
+    "panel-measurements": Profile(("phrase", "source", "scope", "metric", "unit", "geography", "period_start", "period_end"), "full", blank=("approximate",), skips=True),
     "search-performance": Profile(("query", "page"), "full"),
     "search-performance-buckets": Profile(("query", "page", "bucket"), "full"),
     "ranking": Profile(("url",), "full"),
@@ -81,10 +96,87 @@ def compare(before: DataFrame, after: DataFrame, keys: list[str], values: list[s
     return out
 
 
-def compare_profile(name: str, before: DataFrame, after: DataFrame, value: str = "value", at: str | None = "observed_at") -> DataFrame:
+def analysis_signature(options: dict[str, object]) -> str:
+    """Digest of the settings that decide what an analysis counts, absent ones by their default."""
+    # The settings and their defaults.
+    defaults = {
+        "include_keywords": True, "include_hashtags": True, "include_flair": True, "include_nsfw": False, "exclude_stickied": False,
+        "min_words": 1, "max_words": 3, "min_occurrences": 1, "max_candidates": 10000, "stopwords": "",
+    }
+    return hashlib.sha256(json.dumps({k: options.get(k, v) for k, v in defaults.items()}, sort_keys=True).encode()).hexdigest()
+
+
+def _needed(name: str, rows: DataFrame, columns: tuple[str, ...]) -> None:
+    if lacking := [c for c in columns if c not in rows.columns]:
+        raise ValueError(f"{name} lacks {', '.join(lacking)}")
+
+
+def _refused(rows: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """The rows; reading them raises when a test (an aggregate of one row) holds."""
+    problem = F.coalesce(*[F.when(test, F.lit(text)) for text, test in tests.items()])
+    return rows.where(F.when(problem.isNull(), True).otherwise(F.raise_error(problem).cast("boolean")))
+
+
+def compare_profile(name: str, before: DataFrame, after: DataFrame, value: str = "value", at: str | None = "observed_at", checked: bool = True) -> DataFrame:
+    """Rows compared by the identity of their family.  A side that lacks a part of it can't be
+    compared at all, and raises; so do, when the result is read, sides that differ in what they
+    must have in common, sides cut off by a limit (``output_truncated``), sides not in the order of
+    time, and for some families sides without any identity in common.  ``checked`` False leaves
+    out the tests that need columns of the whole report.
+
+    Families with skipped rows have ``reason`` instead of a change where there is none."""
     p = PROFILES[name]
-    keys = [k for k in p.keys if k in before.columns and k in after.columns]
-    return compare(_usable(before, p), _usable(after, p), keys, [value], p.how, at, p.base, p.whole_days)
+    asked = (*p.same, *(("output_truncated",) if p.whole else ())) if checked else ()
+    for side, rows in (("before", before), ("after", after)):
+        _needed(f"{name}: {side}", rows, (*p.keys, *p.without, *p.blank, *asked))
+    keep = lambda rows: _usable(rows, p).where(reduce(and_, [~F.coalesce(F.col(c), F.lit(False)) for c in p.without], F.lit(True)))
+    blank = lambda rows: rows.withColumn(value, F.when(reduce(and_, [~F.coalesce(F.col(c), F.lit(False)) for c in p.blank], F.lit(True)), F.col(value)))
+    found = compare(blank(keep(before)), blank(keep(after)), list(p.keys), [value], p.how, at, p.base, p.whole_days)
+    tests: dict[str, Column] = {}
+    if asked:
+        of = lambda rows, c: (rows.agg(F.min(c).alias("x")).scalar(), rows.agg(F.max(c).alias("x")).scalar())
+        for c in p.same:
+            (a, b), (x, y) = of(before, c), of(after, c)
+            tests[f"{name}: the sides differ in {c}"] = ~(a.eqNullSafe(b) & b.eqNullSafe(x) & x.eqNullSafe(y))
+        if p.whole:
+            tests[f"{name}: a side is cut off by its limit"] = F.coalesce(of(before, "output_truncated")[1], F.lit(False)) | F.coalesce(of(after, "output_truncated")[1], F.lit(False))
+    if at and checked:
+        latest, first = before.agg(F.max(at).alias("x")).scalar(), after.agg(F.min(at).alias("x")).scalar()
+        tests[f"{name}: the second side isn't later than the first"] = F.coalesce(latest >= first, F.lit(False))
+    if p.some and checked:
+        tests[f"{name}: no identity in common"] = found.limit(1).agg(F.count("*").alias("x")).scalar() == 0
+    if p.skips:
+        gone = F.col(f"{value}_before").isNull() | F.col(f"{value}_after").isNull()
+        found = found.withColumn("reason", F.when(gone, "missing, differently scoped or approximate"))
+    if not tests:
+        return found
+    # The tests stand on a row of their own, since a comparison without rows would never read them.
+    judge = _refused(before.sparkSession.range(1), tests).where("id < 0")
+    return found.unionByName(judge.select(*[F.lit(None).cast(k).alias(c) for c, k in found.dtypes]))
+
+
+def period_problem(before: dict[str, str], after: dict[str, str]) -> str | None:
+    """Why two reporting periods (start_date, end_date) can't be compared, or None."""
+    try:
+        a, b, c, d = (date.fromisoformat(x[k]) for x in (before, after) for k in ("start_date", "end_date"))
+    except (KeyError, TypeError, ValueError):
+        return "periods need valid start and end dates"
+    return None if a <= b < c <= d and b - a == d - c else "periods must follow each other and be equally long"
+
+
+def compare_periods(before: DataFrame, after: DataFrame, keys: list[str], periods: tuple[dict[str, str], dict[str, str]], context: tuple[dict, dict] = ({}, {})) -> DataFrame:
+    """Clicks, impressions, rate and position of two reports of equal periods and one context; the
+    change of a rate is in percentage points.  Keys of dates or hours can't be compared."""
+    if problem := period_problem(*periods):
+        raise ValueError(problem)
+    if context[0] != context[1]:
+        raise ValueError("reports differ in " + ", ".join(sorted(k for k in context[0] | context[1] if context[0].get(k) != context[1].get(k))))
+    if dated := {"date", "hour"} & set(keys):
+        raise ValueError(f"keys {', '.join(sorted(dated))} differ between periods by nature")
+    found = compare(before, after, keys, ["clicks", "impressions", "ctr", "position"], "full")
+    presence = F.when(F.col("state") == "added", "only_after").when(F.col("state") == "removed", "only_before").otherwise(F.col("state"))
+    points = F.col("ctr_change") * 100
+    return found.withColumn("presence", presence).withColumn("ctr_change", points).drop("state", *[f"{c}_percent" for c in ("clicks", "impressions", "ctr", "position")])
 
 
 def rank_changes(before: DataFrame, after: DataFrame, group: list[str], url: str, rank: str, top: int | None = None) -> DataFrame:

@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def keep_first(rows: DataFrame, key: str, order: list[Column], compared: list[str]) -> DataFrame:
+def _first_row(rows: DataFrame, key: str, order: list[str]) -> Column:
+    """The row with the least ``order``; ties go by a digest of the row, so the result is one for
+    any order of delivery.  Combines before the shuffle."""
+    digest = F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind])
+    return F.min_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order, digest)).alias("_r")
+
+
+def keep_first(rows: DataFrame, key: str, order: list[str], compared: list[str]) -> DataFrame:
     """The first row of each key, with ``copies`` and ``conflicting`` (a later copy differs)."""
-    by = Window.partitionBy(key)
     digest = F.sha2(F.to_json(F.struct(*compared)), 256)
-    marked = rows.withColumn("_at", F.row_number().over(by.orderBy(*order))).withColumn("_d", digest)
-    summed = marked.withColumn("copies", F.count("*").over(by)).withColumn("conflicting", F.min("_d").over(by) != F.max("_d").over(by))
-    return summed.where("_at = 1").drop("_at", "_d")
+    summed = rows.groupBy(key).agg(_first_row(rows, key, order), F.count("*").alias("copies"), (F.min(digest) != F.max(digest)).alias("conflicting"))
+    return summed.select(key, "_r.*", "copies", "conflicting")
 
 
 def first_non_null(rows: DataFrame, key: str, order: Column, fields: list[str]) -> DataFrame:
@@ -29,11 +34,10 @@ def first_non_null(rows: DataFrame, key: str, order: Column, fields: list[str])
     return merged.select(key, "copies", *fields, conflicts.cast("bigint").alias("conflicts"))
 
 
-def without_removed(rows: DataFrame, key: str, removed: Column, order: list[Column]) -> DataFrame:
+def without_removed(rows: DataFrame, key: str, removed: Column, order: list[str]) -> DataFrame:
     """The first copy of each key of which no copy, earlier or later, is removed."""
-    by = Window.partitionBy(key)
-    marked = rows.withColumn("_gone", F.max(F.coalesce(removed, F.lit(False))).over(by)).withColumn("_at", F.row_number().over(by.orderBy(*order)))
-    return marked.where("NOT _gone AND _at = 1").drop("_gone", "_at")
+    summed = rows.groupBy(key).agg(_first_row(rows, key, order), F.max(F.coalesce(removed, F.lit(False))).alias("_gone"))
+    return summed.where("NOT _gone").select(key, "_r.*")
 
 
 def best_rank(rows: DataFrame, keys: list[str], url: str, rank: str) -> DataFrame:

@@ -8,9 +8,13 @@ missing values come last in both directions.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanwright.operators.terms import folded
+
 COLUMNS = ("phrase", "relationship", "source", "metric", "value", "label", "unit", "observed_at", "geography", "scope")
 
 
@@ -36,13 +40,15 @@ def union(*tables: DataFrame) -> DataFrame:
 
 
 def merged(evidence: DataFrame, identity: Column, order: Column, distinct: bool = True) -> DataFrame:
-    """One row per identity: first spelling, sources, and the evidence as an array of structs,
-    without repeats if ``distinct``, in value order."""
-    piece = F.struct("source", "metric", "unit", "value")
-    gathered = F.collect_set(piece) if distinct else F.collect_list(piece)
-    return evidence.groupBy(identity.alias("identity")).agg(
-        F.min_by("phrase", order).alias("phrase"), F.count_distinct("source").alias("sources"), F.array_sort(gathered).alias("evidence")
+    """(identity, phrase, sources, pieces): one row per identity with its first spelling and the
+    number of its sources and measurements, repeats once if ``distinct``.  The measurements
+    themselves stay rows of the long table; no identity's are gathered in one row."""
+    piece = ["source", "metric", "unit", "value"]
+    by_piece = evidence.select(identity.alias("identity"), order.alias("_o"), "phrase", *piece).groupBy("identity", *piece).agg(
+        F.min("_o").alias("_o"), F.min_by("phrase", "_o").alias("phrase"), F.lit(1).cast("bigint").alias("n") if distinct else F.count("*").alias("n")
     )
+    by_source = by_piece.groupBy("identity", "source").agg(F.min("_o").alias("_o"), F.min_by("phrase", "_o").alias("phrase"), F.sum("n").alias("n"))
+    return by_source.groupBy("identity").agg(F.min_by("phrase", "_o").alias("phrase"), F.count("source").alias("sources"), F.sum("n").alias("pieces"))
 
 
 def gap(ours: DataFrame, theirs: DataFrame, identity: str) -> DataFrame:
@@ -50,6 +56,46 @@ def gap(ours: DataFrame, theirs: DataFrame, identity: str) -> DataFrame:
     return theirs.join(ours.select(identity).distinct(), identity, "left_anti")
 
 
+@dataclass(frozen=True)
+class Ordering:
+    """How a family of results puts its phrases in order.
+
+    pick: of several values of the metric ``agreed`` takes the one they all have, ``single`` the
+    only one and ``first`` the one given first; without such a value a phrase comes last.
+    keys: what decides between equal values."""
+
+    pick: str
+    keys: tuple[str, ...]
+    ascending_ends: tuple[str, ...] = ()
+    must_exist: bool = False
+
+
+# The orders of the result families.
+ORDERINGS = {
+    "video": Ordering("agreed", ("folded", "phrase")), "short-video": Ordering("first", ("phrase",)), "tag": Ordering("agreed", ("phrase",)),
+    "search": Ordering("single", ("folded", "phrase"), must_exist=True), "panel": Ordering("first", ("phrase",), must_exist=True),
+    "mentions": Ordering("first", ("phrase", "relationship")), "mentions-provider": Ordering("first", ("phrase",), ("position",), True),
+}
+
+
+def ordered(evidence: DataFrame, family: str, metric: str, position: str = "position", ascending: bool = False) -> DataFrame:
+    """(phrase, relationship, value) in the order of a family; phrases without a value last.
+    evidence: (phrase, relationship, metric, value, ``position`` of a measurement in its phrase).
+
+    ``must_exist`` families refuse a metric that no row has."""
+    o = ORDERINGS[family]
+    of_metric = F.when((F.col("metric") == metric) & F.col("value").isNotNull(), F.col("value"))
+    least, most = F.min(of_metric), F.max(of_metric)
+    picked = {"agreed": F.when(least == most, least), "single": F.when(F.count(of_metric) == 1, least), "first": F.min_by(of_metric, F.when(of_metric.isNotNull(), F.col(position)))}[o.pick]
+    found = evidence.groupBy("phrase", "relationship").agg(picked.alias("value"), F.max(F.col("metric") == metric).alias("_has")).withColumn("folded", folded(F.col("phrase")))
+    if o.must_exist:
+        known = F.coalesce(found.agg(F.max("_has").alias("k")).scalar(), F.lit(True))
+        found = found.where(F.when(known, True).otherwise(F.raise_error(F.lit(f"no row has the metric {metric}")).cast("boolean")))
+    up = ascending or metric.endswith(o.ascending_ends) if o.ascending_ends else ascending
+    by = F.col("value").asc_nulls_last() if up else F.col("value").desc_nulls_last()
+    return found.orderBy(by, *o.keys).select("phrase", "relationship", "value")
+
+
 def ordered_by_metric(evidence: DataFrame, metric: str, descending: bool = True) -> DataFrame:
     """(phrase, value): a phrase's value of the metric, null if it is missing or in conflict."""
     of_metric = F.when(F.col("metric") == metric, F.col("value"))
@@ -59,6 +105,17 @@ def ordered_by_metric(evidence: DataFrame, metric: str, descending: bool = True)
     return ranked.orderBy(F.col("value").desc_nulls_last() if descending else F.col("value").asc_nulls_last(), F.lower("phrase"), "phrase")
 
 
+def ranked_phrases(scores: DataFrame, per_document: int, limit: int) -> DataFrame:
+    """(phrase, score, occurrences) from (document, phrase, score, occurrences): each document's
+    best ``per_document`` phrases, then the best ``limit`` of all by their greatest score, their
+    occurrences in the documents that chose them, and the phrase."""
+    within = Window.partitionBy("document").orderBy(F.col("score").desc(), "phrase")
+    chosen = scores.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= per_document)
+    total = scores.groupBy("phrase").agg(F.sum("occurrences").alias("occurrences"))
+    best = chosen.groupBy("phrase").agg(F.max("score").alias("score")).join(total, "phrase")
+    return best.select("phrase", "score", "occurrences").orderBy(F.col("score").desc(), F.col("occurrences").desc(), "phrase").limit(limit)
+
+
 def limited(ordered: DataFrame, limit: int) -> DataFrame:
     """The first rows with ``output_truncated``: whether more were there."""
     more = ordered.limit(limit + 1).agg((F.count("*") > limit).alias("output_truncated"))

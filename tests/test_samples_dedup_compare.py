@@ -53,8 +53,8 @@ def test_dedup_rules(spark, rows):
     data = [("a", t(1), 5, None, "x"), ("a", t(2), 6, "u", "x"), ("b", t(1), 1, "v", "[removed]"), ("b", t(3), 1, "v", "live"), ("c", t(1), None, None, "y"), ("c", t(1), None, None, "y")]
     df = spark.createDataFrame(data, "id string, at timestamp, n bigint, who string, body string")
     assert rows(dedup.first_non_null(df, "id", F.col("at"), ["n", "who"])) == [("a", 2, 5, "u", 1), ("b", 2, 1, "v", 0), ("c", 2, None, None, 0)]
-    assert rows(dedup.keep_first(df, "id", [F.col("at")], ["n"]).select("id", "n", "copies", "conflicting")) == [("a", 5, 2, True), ("b", 1, 2, False), ("c", None, 2, False)]
-    assert rows(dedup.without_removed(df, "id", F.col("body") == "[removed]", [F.col("at")]).select("id")) == [("a",), ("c",)]
+    assert rows(dedup.keep_first(df, "id", ["at"], ["n"]).select("id", "n", "copies", "conflicting")) == [("a", 5, 2, True), ("b", 1, 2, False), ("c", None, 2, False)]
+    assert rows(dedup.without_removed(df, "id", F.col("body") == "[removed]", ["at"]).select("id")) == [("a",), ("c",)]
 
 
 def test_compare_states_and_bases(spark):
