@@ -13,17 +13,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanwright.session import checkpointed, partitioned
+
 # Words that local extraction leaves out.
-LOCAL_STOPWORDS = (
-    "about after again against also and are because been before being between but can could did does doing for from had has have here hers "
-    "him his how into its just like more most not now only our out over she should some such than that the their them then there these they "
-    "this those through too under very was were what when where which while who will with would you your yeah oh ooh la"
-).split()
+LOCAL_STOPWORDS = [
+    "about", "after", "again", "against", "also", "and", "are", "because", "been", "before", "being", "between", "but", "can", "could", "did", "does",
+    "doing", "for", "from", "had", "has", "have", "here", "hers", "him", "his", "how", "into", "its", "just", "like", "more", "most", "not", "now",
+    "only", "our", "out", "over", "she", "should", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this",
+    "those", "through", "too", "under", "very", "was", "were", "what", "when", "where", "which", "while", "who", "will", "with", "would", "you",
+    "your", "yeah", "oh", "ooh", "la",
+]
 # Words that no sampled phrase holds.
-SAMPLE_STOPWORDS = (
-    "a an and are as at be been but by can do for from has have he her his i in is it its me my of on or our she so that the their them there "
-    "these they this to was we were what when where which who will with you your"
-).split()
+SAMPLE_STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "do", "for", "from", "has", "have", "he", "her", "his", "i", "in", "is",
+    "it", "its", "me", "my", "of", "on", "or", "our", "she", "so", "that", "the", "their", "them", "there", "these", "they", "this", "to", "was",
+    "we", "were", "what", "when", "where", "which", "who", "will", "with", "you", "your",
+]
 LETTER, INNER = r"\p{L}\p{N}", "'’‌\\-"
 TAG_CHARS = r"\p{L}\p{M}\p{N}_"
 
@@ -61,12 +66,13 @@ def ordered_bridges(rows: DataFrame, key: str, first: str, last: str, buckets: i
 def local_counts(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(phrase, occurrences, score): words and adjacent pairs of different words over the whole
     corpus in the order of ``key``; pairs bridge stopwords, lines and documents."""
-    words = documents.select(F.col(key).alias("k"), local_words(F.col(text)).alias("w")).where("size(w) > 0")
+    # Words are cut once: counts, pairs and the bridges between documents read them.
+    words = checkpointed(documents.select(F.col(key).alias("k"), local_words(F.col(text)).alias("w")).where("size(w) > 0"))
     single = words.select(F.explode("w").alias("phrase"))
     within = words.select(F.explode(F.expr("transform(slice(w, 1, size(w) - 1), (x, i) -> struct(x as left, w[i + 1] as right))")).alias("p")).select("p.left", "p.right")
     bridges = ordered_bridges(words.select("k", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("last")), "k", "first", "last")
     pairs = within.unionAll(bridges).where("left <> right").select(F.concat_ws(" ", "left", "right").alias("phrase"))
-    counts = single.unionAll(pairs).groupBy("phrase").agg(F.count("*").alias("occurrences"))
+    counts = checkpointed(single.unionAll(pairs).groupBy("phrase").agg(F.count("*").alias("occurrences")))
     top = counts.agg(F.max("occurrences").alias("top"))
     return counts.select("phrase", "occurrences", F.bround(F.col("occurrences") / top.scalar(), 4).alias("score"))
 
@@ -97,8 +103,17 @@ def literal_phrases(documents: DataFrame, key: str, text: str, max_words: int =
     return grown.select(key, F.explode(usable).alias("g")).select(key, F.col("g.p").alias("phrase"))
 
 
+def counted_by_key(places: DataFrame, key: str, groups: list[str], records: str = "records") -> DataFrame:
+    """(groups, occurrences, records) of rows that are already partitioned by key: counts go by
+    key first, which needs no shuffle then, and are summed up with map-side combining."""
+    by_key = places.groupBy(key, *groups).agg(F.count("*").alias("n"))
+    return by_key.groupBy(*groups).agg(F.sum("n").alias("occurrences"), F.count(key).alias(records))
+
+
 def literal_counts(documents: DataFrame, key: str, text: str, max_words: int = 3) -> DataFrame:
-    return literal_phrases(documents, key, text, max_words).groupBy("phrase").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"))
+    """(phrase, occurrences, documents).  Texts are partitioned by key, which moves less than
+    their phrases would be."""
+    return counted_by_key(literal_phrases(partitioned(documents.select(key, text), key), key, text, max_words), key, ["phrase"], "documents")
 
 
 def top_phrases(counts: DataFrame, metric: str, limit: int) -> DataFrame:
@@ -122,8 +137,7 @@ def hashtags(text: Column, variant: str = "plain") -> Column:
 
 def tag_frequency(documents: DataFrame, key: str, text: str, variant: str = "plain") -> DataFrame:
     """(tag, occurrences, records)."""
-    tags = documents.select(key, F.explode(hashtags(folded(F.col(text)), variant)).alias("tag"))
-    return tags.groupBy("tag").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("records"))
+    return counted_by_key(documents.select(key, F.explode(hashtags(folded(F.col(text)), variant)).alias("tag")), key, ["tag"])
 
 
 def caption_words(documents: DataFrame, key: str, text: str, at_least: int = 3) -> DataFrame:
@@ -145,29 +159,47 @@ def visible_text(text: Column) -> Column:
 
 def post_terms(posts: DataFrame, key: str, text: str, min_occurrences: int = 1, max_words: int = 3) -> DataFrame:
     """(category, term, occurrences, records): hashtags, community mentions and keywords."""
-    seen = posts.select(key, folded(visible_text(F.col(text))).alias("t"))
+    seen = partitioned(posts.select(key, text), key).select(key, folded(visible_text(F.col(text))).alias("t"))
     tags = seen.select(key, F.lit("hashtag").alias("category"), F.explode(hashtags(F.col("t"))).alias("term"))
     places = seen.select(key, F.lit("community-mention").alias("category"), F.explode(F.regexp_extract_all("t", F.lit(r"(?<![\p{L}\p{N}_/])/?(r/[a-z0-9_]{2,21})(?![a-z0-9_])"), 1)).alias("term"))
     words = literal_phrases(seen, key, "t", max_words).select(key, F.lit("keyword").alias("category"), F.col("phrase").alias("term"))
-    return tags.unionAll(places).unionAll(words).groupBy("category", "term").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("records")).where(F.col("occurrences") >= min_occurrences)
+    return counted_by_key(tags.unionAll(places).unionAll(words), key, ["category", "term"]).where(F.col("occurrences") >= min_occurrences)
 
 
-def phrase_spans(documents: DataFrame, key: str, text: str, max_words: int = 3, keep: int = 20) -> DataFrame:
+def phrase_spans(documents: DataFrame, key: str, text: str, max_words: int = 3, keep: int = 20, flush_phrases: int = 200_000) -> DataFrame:
     """(phrase, occurrences, spans): literal phrases with their first ``keep`` places
-    (key, start, end) in the original text, in the order of key and start."""
+    (key, start, end) in the original text, in the order of key and start.
+
+    A task counts its own places and hands on no more than the first ``keep`` of a phrase at a
+    time; those are counted and ranked, again ``keep`` a task before the shuffle."""
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def cut(batches):
-        for batch in batches:
-            rows = [(k, *span) for k, t in zip(batch["key"], batch["text"], strict=True) if isinstance(t, str) for span in spans_of(t, max_words)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "phrase", "start", "end"])
+        held: dict[str, list] = {}
+
+        def handed():
+            out = [(p, n if at == 0 else 0, *place) for p, (n, places) in held.items() for at, place in enumerate(sorted(places)[:keep])]
+            held.clear()
+            return pd.DataFrame(out, columns=["phrase", "n", "key", "start", "end"])
 
-    found = source.mapInPandas(cut, f"key {dict(source.dtypes)['key']}, phrase string, start int, end int")
-    place = Window.partitionBy("phrase").orderBy("key", "start")
-    ranked = found.withColumn("at", F.row_number().over(place))
-    spans = F.array_sort(F.collect_list(F.when(F.col("at") <= keep, F.struct("key", "start", "end"))))
-    return ranked.groupBy("phrase").agg(F.count("*").alias("occurrences"), spans.alias("spans"))
+        for batch in batches:
+            for k, t in zip(batch["key"], batch["text"], strict=True):
+                for phrase, start, end in spans_of(t, max_words) if isinstance(t, str) else ():
+                    entry = held.setdefault(phrase, [0, []])
+                    entry[0] += 1
+                    entry[1].append((k, start, end))
+                    if len(entry[1]) > 4 * keep:
+                        entry[1] = sorted(entry[1])[:keep]
+            if len(held) > flush_phrases:
+                yield handed()
+        if held:
+            yield handed()
+
+    found = checkpointed(source.where("key IS NOT NULL").mapInPandas(cut, f"phrase string, n bigint, key {dict(source.dtypes)['key']}, start int, end int"))
+    counts = found.groupBy("phrase").agg(F.sum("n").alias("occurrences"))
+    first = found.withColumn("at", F.row_number().over(Window.partitionBy("phrase").orderBy("key", "start"))).where(F.col("at") <= keep)
+    spans = first.groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("key", "start", "end"))).alias("spans"))
+    return counts.join(spans, "phrase")
 
 
 def spans_of(text: str, max_words: int) -> list[tuple[str, int, int]]:
@@ -200,11 +232,12 @@ STYLES = {
 
 
 def sample_phrases(documents: DataFrame, key: str, text: str, max_words: int = 3, style: str = "video", more_stopwords: tuple[str, ...] = ()) -> DataFrame:
-    """(key, phrase), one row per place: contiguous words without a stopword among them.
+    """(key, phrase): contiguous words without a stopword among them.
 
-    ``video``: outside addresses and tags, words parted by one or two blanks or a tab, first word
-    of two characters or more; ``short-video``: not after ``#`` or ``@``, parted by blanks of a
-    line, every word of two characters and no plain number, at most 160 characters."""
+    ``video``: one row per place; outside addresses and tags, words parted by one or two blanks
+    or a tab, first word of two characters or more; ``short-video``: each phrase of a record
+    once; not after ``#`` or ``@``, parted by blanks of a line, every word of two characters and
+    no plain number, at most 160 characters."""
     rule, word = STYLES[style], LETTER
     t = F.regexp_replace(text, rule["drop"], "\n")
     t = F.regexp_replace(t, rf"(?<=[{word}]){rule['gap']}(?=[{word}])", "\u0001")
@@ -218,13 +251,13 @@ def sample_phrases(documents: DataFrame, key: str, text: str, max_words: int = 3
     spans = F.flatten(F.transform(widths, lambda n: F.when(F.size("run") >= n, F.transform(F.sequence(F.lit(1), F.size("run") - n + 1), lambda i: F.struct(F.slice("run", i, n).alias("w"), F.exists(F.slice("bad", i, n), lambda b: b).alias("b")))).otherwise(F.array().cast("array<struct<w:array<string>,b:boolean>>"))))
     fit = F.filter(spans, lambda s: ~s["b"] & (F.length(s["w"][0]) >= 2))
     phrases = marked.select(key, F.explode(fit).alias("s")).select(key, F.array_join("s.w", " ").alias("phrase"))
-    return phrases.where(F.length("phrase") <= 160) if style == "short-video" else phrases
+    return phrases.where(F.length("phrase") <= 160).distinct() if style == "short-video" else phrases
 
 
 def inventory(phrases: DataFrame, key: str, min_occurrences: int = 1, min_documents: int = 1, allowed: DataFrame | None = None) -> DataFrame:
     """(phrase, occurrences, documents) of candidates that occur often enough."""
     rows = phrases.join(allowed, "phrase", "left_semi") if allowed is not None else phrases
-    counted = rows.groupBy("phrase").agg(F.count("*").alias("occurrences"), F.count_distinct(key).alias("documents"))
+    counted = counted_by_key(rows, key, ["phrase"], "documents")
     return counted.where((F.col("occurrences") >= min_occurrences) & (F.col("documents") >= min_documents))
 
 

@@ -9,7 +9,7 @@ from gleanwright.functions.counts import display_count, is_censored, measured
 from gleanwright.functions.text import words
 from gleanwright.functions.urls import host, normal_url
 from gleanwright.operators import dedup, samples, selection, terms
-from gleanwright.session import spread, table
+from gleanwright.session import partitioned, spread, table
 
 SQL: dict[str, str] = {}
 EPOCH = "TIMESTAMPTZ '1970-01-01 00:00:00+00'"
@@ -18,11 +18,16 @@ NOW = "2025-06-01"
 
 def term_sample_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Terms of three and more characters with occurrences, documents and length statistics."""
-    found = spread(table(spark, folder, "documents").select("doc_id", "n_chars", "text")).select("doc_id", "n_chars", F.explode(words(F.col("text"), 3)).alias("term"))
-    per_document = found.groupBy("term", "doc_id").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
-    stats = per_document.groupBy("term").agg(
-        F.sum("n").alias("occurrences"), F.count("*").alias("documents"), F.sum("n_chars").alias("n_chars_sum"),
-        F.round(F.avg("n_chars"), 6).alias("n_chars_mean"), F.median("n_chars").alias("n_chars_median"),
+    texts = partitioned(table(spark, folder, "documents").select("doc_id", "n_chars", "text"), "doc_id")
+    found = texts.select("doc_id", "n_chars", F.explode(words(F.col("text"), 3)).alias("term"))
+    per_document = found.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.max("n_chars").alias("n_chars"))
+    # A term has one row for each length that its documents have, however many they are.
+    sized = per_document.groupBy("term", "n_chars").agg(F.sum("n").alias("n"), F.count("*").alias("documents"))
+    total = F.sum(F.col("n_chars") * F.col("documents"))
+    measured_documents = F.sum(F.when(F.col("n_chars").isNotNull(), F.col("documents")))
+    stats = sized.groupBy("term").agg(
+        F.sum("n").alias("occurrences"), F.sum("documents").alias("documents"), total.alias("n_chars_sum"),
+        F.round(total / measured_documents, 6).alias("n_chars_mean"), F.percentile("n_chars", 0.5, F.col("documents")).alias("n_chars_median"),
     )
     return stats.orderBy(F.col("documents").desc(), F.length("term").desc(), "term").limit(50)
 
@@ -50,7 +55,7 @@ SELECT phrase, occurrences, round_even(occurrences / max(occurrences) OVER (), 4
 
 
 def literal_ngrams_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.top_phrases(terms.literal_counts(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text"), "occurrences", 300)
+    return terms.top_phrases(terms.literal_counts(table(spark, folder, "documents"), "doc_id", "text"), "occurrences", 300)
 
 
 FOLD = "replace(replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')"
@@ -163,7 +168,7 @@ SELECT subreddit, count(*) AS posts, median(score) AS median_score, median(num_c
 
 def dedup_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "posts")
-    found = dedup.keep_first(rows, "id", [F.col("captured_at"), F.col("score"), F.col("num_comments")], ["score", "num_comments", "upvote_ratio"])
+    found = dedup.keep_first(rows, "id", ["captured_at", "score", "num_comments"], ["score", "num_comments", "upvote_ratio"])
     return found.select("id", "copies", "conflicting")
 
 
@@ -185,7 +190,7 @@ SELECT id, count(*) AS copies, {", ".join(_first(c) for c in ("owner", "media_ty
 
 def dedup_removed(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "posts")
-    kept = dedup.without_removed(rows, "id", F.col("body").isin("[removed]", "[deleted]"), [F.col("captured_at")])
+    kept = dedup.without_removed(rows, "id", F.col("body").isin("[removed]", "[deleted]"), ["captured_at"])
     return kept.select("id", "subreddit")
 
 

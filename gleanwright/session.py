@@ -51,3 +51,9 @@ def spread(df: DataFrame, least: int = 64) -> DataFrame:
     unsplittable files) and costly work per row follows; scans of many splits stay as they are."""
     wanted = min(df.sparkSession.sparkContext.defaultParallelism, least)
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key in as many partitions as the session sets for shuffles, none of which is
+    joined with another for being small: costly work per row follows."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
