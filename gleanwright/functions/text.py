@@ -51,11 +51,18 @@ def label(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def query_form(values: pd.Series) -> pd.Series:
-    """Composed, lower case, outer blanks cut, inner blanks single."""
+def _composed_query(values: pd.Series) -> pd.Series:
     return _each(values, lambda v: " ".join(unicodedata.normalize("NFC", v).lower().split()))
 
 
+def query_form(value: Column) -> Column:
+    """Composed, lower case, outer blanks cut, inner blanks single.  Texts of ASCII characters
+    need no composition and take built-in expressions."""
+    ascii_ = F.octet_length(value) == F.char_length(value)
+    plain = F.trim(F.regexp_replace(F.lower(value), r"[\x09-\x0d\x1c-\x20]+", " "))
+    return F.when(ascii_, plain).otherwise(_composed_query(F.when(~ascii_, value)))
+
+
 def collapsed(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"[\s ]+", " "))
 

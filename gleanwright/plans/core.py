@@ -52,19 +52,21 @@ def p4_zones(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.chosen_zones(timestamps.parsed_rows(time_rows(spark, folder), feeds), timestamps.all_zones(feeds))
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+def snapshot_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Both tables as (tbl, stream_id, observed_at, delivered_at, item, a, b); of repeated rows of
+    an item the greatest a and b count, so the best rank is the greatest of its negatives."""
     bwt, serp = table(spark, folder, "bwt_before"), table(spark, folder, "serp_after")
-    query = F.nullif(query_form("query"), F.lit(""))
-    page = F.coalesce(normal_url(F.col("page")), F.lit(""))
-    pages = snapshots.snapshot_changes(
-        bwt, "site_id", "observed_at", "delivered_at", F.concat(query, F.lit("|"), page),
-        {"clicks": F.max("clicks"), "impressions": F.max("impressions")},
-    )
-    links = snapshots.snapshot_changes(
-        serp, "serp_id", "observed_at", "delivered_at", F.nullif(normal_url(F.col("url")), F.lit("")), {"best": F.min("rank")}
-    )
-    both = pages.select(F.lit("bwt_before").alias("tbl"), "*").unionAll(links.select(F.lit("serp_after").alias("tbl"), "*"))
-    return both.select("tbl", "stream_id", F.date_format("observed_on", "yyyy-MM-dd").alias("observed_on"), "item", "change_kind")
+    query, page = F.nullif(query_form(F.col("query")), F.lit("")), F.coalesce(normal_url(F.col("page")), F.lit(""))
+    common = ["observed_at", "delivered_at"]
+    pages = bwt.select(F.lit("bwt_before").alias("tbl"), F.col("site_id").alias("stream_id"), *common, F.concat(query, F.lit("|"), page).alias("item"), F.col("clicks").alias("a"), F.col("impressions").alias("b"))
+    rank, none = (-F.col("rank")).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")
+    return pages.unionAll(serp.select(F.lit("serp_after").alias("tbl"), F.col("serp_id").alias("stream_id"), *common, F.nullif(normal_url(F.col("url")), F.lit("")).alias("item"), rank, none))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = snapshot_rows(spark, folder)
+    found = snapshots.snapshot_changes(rows, ["tbl", "stream_id"], "observed_at", "delivered_at", "item", {"a": F.max("a"), "b": F.max("b")})
+    return found.select("tbl", "stream_id", F.date_format("observed_on", "yyyy-MM-dd").alias("observed_on"), "item", "change_kind")
 
 
 _ADDRESS = r"regexp_extract({0}, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?', ['s', 'h', 'p', 'q'])"
