@@ -158,7 +158,7 @@ def evidence_merged(spark: SparkSession, folder: str) -> DataFrame:
     b = table(spark, folder, "observations_after").select("phrase", "source", "metric", "unit", F.col("value").cast("bigint").cast("string").alias("value"), F.col("obs_id").alias("ord"), F.lit(2).alias("side"))
     both = evidence.union(a, b).where("phrase IS NOT NULL")
     found = evidence.merged(both, F.lower(F.trim("phrase")), F.struct("side", "ord", "phrase"))
-    return found.select("identity", "phrase", "sources", F.size("evidence").cast("bigint").alias("pieces"))
+    return found
 
 
 SQL["evidence_merged"] = """
@@ -197,7 +197,7 @@ def bulk_weighted_position(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["bulk_weighted_position"] = """
 SELECT query, page, sum(clicks)::BIGINT AS clicks, sum(impressions)::BIGINT AS impressions, round(CASE WHEN sum(impressions) <> 0 THEN sum(clicks) / sum(impressions) END, 6) AS ctr, round(CASE WHEN sum(impressions) <> 0 THEN sum(average_impression_position * impressions) / sum(impressions) END, 6) AS average_position
-FROM bwt_before WHERE observed_at BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND query IS NOT NULL AND page IS NOT NULL GROUP BY ALL ORDER BY impressions DESC NULLS LAST, query, page LIMIT 1000"""
+FROM bwt_before WHERE observed_at BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' AND query IS NOT NULL AND page IS NOT NULL GROUP BY ALL"""
 
 
 def serp_competition(spark: SparkSession, folder: str) -> DataFrame:
@@ -340,21 +340,23 @@ SQL["monitor_rejects"] = f"SELECT {_RULES} AS problem, count(*) AS rows FROM obs
 
 def monitor_latest(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "observations_after")
-    return monitor.latest(rows, ["series_id"], [F.col("observed_at").desc_nulls_last(), F.col("obs_id").desc(), F.col("value").desc_nulls_last()]).select("series_id", "obs_id", "phrase", "value")
+    return monitor.latest(rows, ["series_id"], F.struct("observed_at", "obs_id", "value")).select("series_id", "obs_id", "phrase", "value")
 
 
 SQL["monitor_latest"] = "SELECT series_id, obs_id, phrase, value FROM observations_after QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY observed_at DESC NULLS LAST, obs_id DESC, value DESC NULLS LAST) = 1"
 
 
 def monitor_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    ok = _observations(spark, folder).where("problem IS NULL")
+    """Captures of one identity and quarter, as if they had been taken at its first day."""
+    ok = _observations(spark, folder).where("problem IS NULL").withColumn("observed_at", F.date_trunc("quarter", "observed_at"))
     found = monitor.conflicts(ok, ["phrase", "source", "scope", "metric", "unit", "geography"])
     return found.groupBy("phrase", "source", "metric").agg(F.count("*").alias("groups"), F.max("signatures").alias("signatures"))
 
 
 _OK = f"(SELECT * FROM (SELECT *, {_RULES} AS problem FROM observations_after) WHERE problem IS NULL)"
+_SIGNATURE = "coalesce(value::VARCHAR, 'n') || '|' || coalesce(period_start::VARCHAR, 'n') || '|' || coalesce(period_end::VARCHAR, 'n')"
 SQL["monitor_conflicts"] = f"""
-WITH g AS (SELECT phrase, source, scope, metric, unit, geography, observed_at, count(DISTINCT coalesce(value::VARCHAR, 'n') || '|' || coalesce(period_start::VARCHAR, 'n') || '|' || coalesce(period_end::VARCHAR, 'n')) AS s FROM {_OK} GROUP BY ALL HAVING s > 1)
+WITH g AS (SELECT phrase, source, scope, metric, unit, geography, date_trunc('quarter', observed_at AT TIME ZONE 'UTC') AS q, count(DISTINCT {_SIGNATURE}) AS s FROM {_OK} GROUP BY ALL HAVING s > 1)
 SELECT phrase, source, metric, count(*) AS groups, max(s) AS signatures FROM g GROUP BY ALL"""
 
 
@@ -395,6 +397,17 @@ def monitor_coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
     return monitor_coverage(spark, folder).groupBy("status").agg(F.count("*").alias("watches"))
 
 
+SQL["monitor_coverage_counts"] = f"SELECT status, count(*) AS watches FROM ({SQL['monitor_coverage']}) GROUP BY status"
+
+
+def monitor_evidence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    ok = _observations(spark, folder).where("problem IS NULL")
+    return monitor.evidence_counts(_watches(spark, folder), ok, F.lit(MONITOR_NOW).cast("timestamp"))
+
+
+SQL["monitor_evidence_counts"] = _COMMON + " SELECT watch_id, 'platform_search_interest' AS evidence_kind, count(*) AS observations FROM m GROUP BY watch_id"
+
+
 def monitor_alerts(spark: SparkSession, folder: str) -> DataFrame:
     ok = _observations(spark, folder).where("problem IS NULL")
     return _rounded(monitor.alerts(_watches(spark, folder), ok, F.lit(MONITOR_NOW).cast("timestamp")), "percent")
@@ -414,10 +427,14 @@ SELECT w.watch_id, epoch_us(coalesce(s.at + INTERVAL 168 HOUR, TIMESTAMP '{MONIT
 
 
 def snapshot_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"), F.octet_length("text").cast("bigint").alias("bytes"))
+    """Stored digests against recomputed ones; documents of other languages than English have
+    lost their last character since."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL")
+    stored = rows.select(F.when(F.col("lang") == "en", F.col("text")).otherwise(F.expr("left(text, char_length(text) - 1)")).alias("content"), F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+    return monitor.verified(stored, "content", "digest")
 
 
-SQL["snapshot_integrity"] = "SELECT doc_id, sha256(text) AS digest, strlen(text) AS bytes FROM documents"
+SQL["snapshot_integrity"] = "SELECT count(*) AS rows, count(*) FILTER (WHERE lang IS DISTINCT FROM 'en' AND length(text) > 0) AS damaged FROM documents WHERE text IS NOT NULL"
 
 
 # --- selection
@@ -593,6 +610,6 @@ SELECT l_suppkey, 'period' AS kind, s AS start_date, e AS end_date FROM p UNION
 QUERIES = [
     compare_observations, compare_inner_orders, compare_performance, compare_rankings, ranking_overlap, copies_missing, report_evidence, evidence_order, keyword_gap, evidence_merged,
     search_opportunities, query_page_overlap, bulk_weighted_position, serp_competition, supplier_share_of_top, page_phrase_coverage, trend_summary, event_recency, view_completeness, quota_ledger,
-    monitor_rejects, monitor_latest, monitor_conflicts, watch_matches, monitor_coverage, monitor_coverage_counts, monitor_alerts, monitor_due, snapshot_integrity, shortlist_capped, focus_reasons, hashtag_plan,
+    monitor_rejects, monitor_latest, monitor_conflicts, watch_matches, monitor_coverage, monitor_coverage_counts, monitor_evidence_counts, monitor_alerts, monitor_due, snapshot_integrity, shortlist_capped, focus_reasons, hashtag_plan,
     event_cycle_alignment, event_majority_intervals, event_holdouts, embedding_top_k, embedding_centroids, embedding_mmr, embedding_max_sum, tree_depths, covered_bins,
 ]
