@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +33,17 @@ SELECT {dims}, sum({clicks}) AS clicks, sum({impressions}) AS impressions,
        try_divide(sum({clicks}), sum({impressions})) AS ctr,
        try_divide(sum({position} * {impressions}), sum({impressions})) + {offset} AS average_position
 FROM {table}
-WHERE {day} BETWEEN DATE '{start}' AND DATE '{end}' AND {condition}
+WHERE {day} BETWEEN :start AND :end
 GROUP BY ALL ORDER BY impressions DESC, {dims}
 """
 
 
-def bulk_totals(spark: SparkSession, rows: DataFrame, dims: list[str], columns: dict[str, str], start: str, end: str, condition: str = "true", offset: int = 1) -> DataFrame:
+def bulk_totals(spark: SparkSession, rows: DataFrame, dims: list[str], columns: dict[str, str], start: date, end: date, condition: Column | None = None, offset: int = 1) -> DataFrame:
     """Totals of a period, one row for every group, with the position weighted by impressions
-    (stored from zero)."""
-    text = BULK_SQL.format(dims=", ".join(dims), table="{rows}", start=start, end=end, condition=condition, offset=offset, **columns)
-    return spark.sql(text, rows=rows)
+    (stored from zero).  Values go to the statement as parameters; names are quoted."""
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    text = BULK_SQL.format(dims=", ".join(map(name, dims)), table="{rows}", offset=int(offset), **{k: name(v) for k, v in columns.items()})
+    return spark.sql(text, args={"start": start, "end": end}, rows=rows if condition is None else rows.where(condition))
 
 
 def competition(results: DataFrame, group: list[str], url: str, rank: str, title: str, phrase: Column, target: str | None = None, top: int = 10, strip_www: bool = True) -> DataFrame:

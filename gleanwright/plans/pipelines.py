@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwright.functions.text import normal
-from gleanwright.session import shared_folder, table
+from gleanwright.session import checkpointed, shared_folder, table
 from gleanwright.sources import records, texts
 from gleanwright.streaming import ingest
 
@@ -23,7 +23,10 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
         source.write.parquet(f"{base}/in/{delivery}")
         stream = spark.readStream.schema(source.schema).parquet(f"{base}/in/{delivery}")
         ingest.ingest(stream, f"{base}/store", f"{base}/log-{delivery}").awaitTermination()
-    return spark.read.parquet(f"{base}/store").groupBy("event_type").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    found = checkpointed(spark.read.parquet(f"{base}/store").groupBy("event_type").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id")))
+    place = spark._jvm.org.apache.hadoop.fs.Path(base)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return found
 
 
 SQL["stream_ingest"] = "SELECT event_type, count(*) AS rows, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type"
@@ -58,10 +61,11 @@ SELECT metric, unit, CASE WHEN gone THEN 'unavailable' ELSE 'observed' END AS av
 
 
 def visible_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents read as pages: visible text without mark-up, and their paragraphs."""
-    documents = table(spark, folder, "documents").where("text LIKE '%<p>%'").select("doc_id", "text")
+    """All documents read as pages: visible text without mark-up, and their paragraphs."""
+    documents = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
     paragraphs = texts.html_rows(documents, "doc_id", "text", "p").groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("characters"))
-    return documents.select("doc_id", F.length(texts.visible_html(F.col("text"))).alias("visible")).join(paragraphs, "doc_id")
+    shown = documents.select("doc_id", F.length(texts.visible_html(F.col("text"))).alias("visible"))
+    return shown.join(paragraphs, "doc_id", "left").select("doc_id", "visible", F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"), F.coalesce("characters", F.lit(0)).alias("characters"))
 
 
 def folded_sources(spark: SparkSession, folder: str) -> DataFrame:

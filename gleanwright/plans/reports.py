@@ -3,6 +3,8 @@ embeddings, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +193,7 @@ SELECT site_id, query, count(*) AS pages, CASE WHEN sum(gone) = 0 THEN sum(i)::B
 
 def bulk_weighted_position(spark: SparkSession, folder: str) -> DataFrame:
     columns = {"clicks": "clicks", "impressions": "impressions", "position": "average_impression_position", "day": "observed_at"}
-    found = search.bulk_totals(spark, table(spark, folder, "bwt_before"), ["query", "page"], columns, "2024-01-01", "2024-12-31", "query IS NOT NULL AND page IS NOT NULL", 0)
+    found = search.bulk_totals(spark, table(spark, folder, "bwt_before"), ["query", "page"], columns, date(2024, 1, 1), date(2024, 12, 31), F.expr("query IS NOT NULL AND page IS NOT NULL"), 0)
     return _rounded(found, "ctr", "average_position")
 
 

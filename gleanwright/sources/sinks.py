@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanwright.session import checkpointed
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -22,12 +24,20 @@ def write_text(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.col("phrase"), F.lit("\t"), F.col("relationship"), tail).alias("value")).write.mode("overwrite").text(path)
 
 
+BUCKETS = 64  # directories of a store, by the hash of the key
+
+
 def append_new(df: DataFrame, path: str, key: str = "id") -> int:
-    """Appends rows whose key the table lacks; delivering rows again adds nothing."""
+    """Appends rows whose key the store lacks, and tells how many; delivering rows again adds
+    nothing.  The store is parted by the key's hash, so only the parts that a delivery touches
+    are read, and of them only the key.  One writer at a time: files have no lock."""
     spark = df.sparkSession
-    fresh = df.dropDuplicates([key])
+    fresh = checkpointed(df.dropDuplicates([key]).withColumn("bucket", F.expr(f"int(pmod(xxhash64(`{key}`), {BUCKETS}))")))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
-    return spark.read.parquet(path).count()
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS rows
+        known = spark.read.schema(f"`{key}` {dict(df.dtypes)[key]}, bucket int").parquet(path).where(F.col("bucket").isin(touched))
+        fresh = fresh.join(known, ["bucket", key], "left_anti")
+    found = checkpointed(fresh)
+    found.select(*df.columns, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    return found.count()

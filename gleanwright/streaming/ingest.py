@@ -1,12 +1,13 @@
 """Continuous ingest of observations: idempotent append, late rows kept, change alerts.
 
 The batch views read the same tables as of a time, so a late row only adds to
-what later reads see.  The alert stream keeps, per watch and identity, the last
-observation in state and tells changes as they arrive.
+what later reads see.  The alert stream keeps, per watch and identity, the newest
+observations in state and tells changes as they arrive, late rows included.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gleanwright.operators.monitor import comparable_reason, signature
 from gleanwright.sources.sinks import append_new
 
 
@@ -42,27 +44,65 @@ def sessions(stream: DataFrame, at: str, keys: list[str], gap: str = "30 minutes
     return stream.withWatermark(at, delay).groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("rows"))
 
 
-def change_alerts(stream: DataFrame, keys: list[str], at: str, value: str, min_change: float = 1.0) -> DataFrame:
-    """(keys, observed_at, before, after, delta): changes of at least ``min_change`` between
-    consecutive observations of a key.  A row older than the last one seen changes nothing."""
+COMPARED = ("identity", "id", "value", "availability", "approximate", "censored", "completeness", "scope", "window", "unit", "geography", "evidence_kind", "normalization_id", "period_start", "period_end")
+
+
+def change_pairs(stream: DataFrame, keys: list[str], at: str, fields: list[str], keep: int = 32, idle: str | None = None) -> DataFrame:
+    """(keys, before, after): structs of ``at`` and the fields of the two newest observations of a
+    key, whenever a row makes them other ones; a late row does so too if it lies between them.
+
+    State holds the ``keep`` newest observations of a key; older rows can't be of the two newest.
+    Two rows of one time that differ are a conflict, and their key is silent as long as they are
+    kept.  With ``idle`` (milliseconds) the state of a key without rows for so long is dropped; that
+    needs a trigger that goes on, since one that ends when all is read waits for the timeouts."""
     kinds = dict(stream.dtypes)
-    out = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", observed_at timestamp, before double, after double, delta double"
+    row = "struct<" + ", ".join(f"`{c}`: {kinds[c]}" for c in (at, *fields)) + ">"
+    out = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", before string, after string"
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values([at, value])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent = json.loads(state.get[0]) if state.exists else []
+        told = state.get[1] if state.exists else None
         found = []
-        for when, now in zip(rows[at], rows[value], strict=True):
-            stamp = int(when.value // 1000)
-            if pd.isna(now) or (last[0] is not None and stamp <= last[0]):
+        arrived = sorted((int(m), r) for frame in frames for m, r in zip(frame["micros"], frame["row"], strict=True))
+        for one in arrived:
+            if list(one) in recent:
                 continue
-            if last[1] is not None and abs(now - last[1]) >= min_change:
-                found.append((*key, when, last[1], now, now - last[1]))
-            last = (stamp, float(now))
-        if last[0] is not None:
-            state.update(last)
+            recent = sorted([*recent, list(one)])[-keep:]
+            pair = json.dumps([x[1] for x in recent[-2:]])
+            clash = any(a[0] == b[0] for a, b in zip(recent, recent[1:], strict=False))
+            if len(recent) > 1 and not clash and pair != told:
+                found.append((*key, recent[-2][1], recent[-1][1]))
+                told = pair
+        state.update((json.dumps(recent), told))
+        if idle is not None:
+            state.setTimeoutDuration(int(idle))
         if found:
-            yield pd.DataFrame(found, columns=[*keys, "observed_at", "before", "after", "delta"])
-
-    grouped = stream.select(*keys, F.col(at).cast("timestamp").alias(at), F.col(value).cast("double").alias(value)).groupBy(*keys)
-    return grouped.applyInPandasWithState(step, out, "at bigint, value double", "append", "NoTimeout")
+            yield pd.DataFrame(found, columns=[*keys, "before", "after"])
+
+    plain = stream.where(F.col(at).isNotNull()).select(*keys, F.unix_micros(F.col(at).cast("timestamp")).alias("micros"), F.to_json(F.struct(at, *fields)).alias("row"))
+    pairs = plain.groupBy(*keys).applyInPandasWithState(step, out, "recent string, told string", "append", "ProcessingTimeTimeout" if idle is not None else "NoTimeout")
+    return pairs.select(*keys, F.from_json("before", row).alias("before"), F.from_json("after", row).alias("after"))
+
+
+def change_alerts(stream: DataFrame, keys: list[str], at: str, value: str, min_change: float = 1.0, keep: int = 32, idle: str | None = None) -> DataFrame:
+    """(keys, observed_at, before, after, delta): changes of at least ``min_change`` between the two
+    newest observations of a key.  Rows of the whole observation schema must also be comparable
+    as the monitor asks; a row without a value changes nothing."""
+    whole = all(c in stream.columns for c in COMPARED)
+    fields = [c for c in COMPARED if c != at] if whole else [value]
+    pairs = change_pairs(stream.where(F.col(value).isNotNull()), keys, at, fields, keep, idle)
+    if whole:
+        pairs = pairs.where(comparable_reason("before", "after").isNull())
+    delta = F.col(f"after.{value}") - F.col(f"before.{value}")
+    out = pairs.select(*keys, F.col(f"after.{at}").alias("observed_at"), F.col(f"before.{value}").alias("before"), F.col(f"after.{value}").alias("after"), delta.alias("delta"))
+    return out.where(F.abs("delta") >= min_change)
+
+
+def conflicting(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
+    """(keys, at) of captures of one time that differ, once the watermark has passed them."""
+    sig = F.xxhash64(signature(stream))
+    counted = stream.withColumn("_s", sig).withWatermark(at, delay).groupBy(*keys, at).agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
+    return counted.where("lo <> hi").select(*keys, at)

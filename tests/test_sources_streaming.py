@@ -122,7 +122,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_text(df, str(tmp_path / "t"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "t")).collect()) == ["a\tr", "b\tr (0.5)"]
     ids = spark.createDataFrame([(1,), (1,), (2,)], "id int")
-    assert [sinks.append_new(ids, str(tmp_path / "s")) for _ in range(2)] == [2, 2]
+    assert [sinks.append_new(ids, str(tmp_path / "s")) for _ in range(2)] == [2, 0]
+    more = spark.createDataFrame([(2,), (3,)], "id int")
+    assert sinks.append_new(more, str(tmp_path / "s")) == 1 and sorted(r.id for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [1, 2, 3]
 
 
 def test_streams(spark, tmp_path):
@@ -135,6 +137,23 @@ def test_streams(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 2, 3, 4, 5, 6]
     q = ingest.change_alerts(read(), ["k"], "observed_at", "value").writeStream.format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sorted((r.before, r.after) for r in spark.table("alerts").collect()) == [(1.0, 9.0), (9.5, 2.0)]
+    assert sorted((r.before, r.after) for r in spark.table("alerts").collect()) == [(1.0, 9.0), (9.5, 2.0), (50.0, 9.0)]
     w = ingest.windowed(ingest.distinct_within(read(), "id", "observed_at", "1 hour"), "observed_at", ["k"], "10 minutes", delay="1 hour")
     assert w.isStreaming and ingest.sessions(read(), "observed_at", ["k"]).isStreaming
+
+
+def test_alerts_of_whole_observations_are_comparable_ones(spark, tmp_path):
+    from gleanwright.operators import monitor
+
+    day = lambda n: dt.datetime(2024, 5, n)
+    fields = "phrase string, value double, observed_at timestamp, approximate boolean"
+    rows = [("up", 1.0, day(1), False), ("up", 5.0, day(3), False), ("rough", 1.0, day(1), True), ("rough", 9.0, day(3), True), ("clash", 1.0, day(1), False), ("clash", 2.0, day(1), False), ("clash", 9.0, day(3), False), ("late", 1.0, day(1), False), ("late", 9.0, day(5), False)]
+    more = [("late", 4.0, day(3), False), ("up", 5.0, day(3), False)]
+    for n, data in enumerate((rows, more)):
+        made = spark.createDataFrame(data, fields).select("*", *[F.lit(v).alias(c) for c, v in {"subject": "s", "platform": "p", "source": "x", "metric": "m", "unit": "count", "scope": "web", "window": "week", "geography": "GB", "evidence_kind": "search_volume_estimate", "completeness": "complete"}.items()])
+        monitor.validated(made, F.lit(day(20))).drop("dimensions").coalesce(1).write.parquet(str(tmp_path / "in" / f"d{n}"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "d0")).schema
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    alerts = ingest.change_alerts(read, ["phrase"], "observed_at", "value")
+    alerts.writeStream.format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.phrase, r.before, r.after) for r in spark.table("whole").collect()) == [("late", 1.0, 9.0), ("late", 4.0, 9.0), ("up", 1.0, 5.0)]
