@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanwright.plans import core, pipelines, reports, texts
+from gleanwright.plans import core, pipelines, reports, responses, texts, validation
 
-PARTS = (texts, reports, pipelines, core)
+PARTS = (texts, reports, responses, validation, pipelines, core)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
