@@ -40,6 +40,29 @@ def without_removed(rows: DataFrame, key: str, removed: Column, order: list[str]
     return summed.where("NOT _gone").select(key, "_r.*")
 
 
+def permitted(rows: DataFrame, adult: Column | None = None, pinned: Column | None = None, include_adult: bool = False, exclude_pinned: bool = False) -> DataFrame:
+    """Rows that a sample may hold: adult ones only if asked for, pinned ones unless excluded; a
+    row that doesn't say is neither."""
+    out = rows
+    if adult is not None and not include_adult:
+        out = out.where(~F.coalesce(adult, F.lit(False)))
+    if pinned is not None and exclude_pinned:
+        out = out.where(~F.coalesce(pinned, F.lit(False)))
+    return out
+
+
+def merged_tags(rows: DataFrame, key: str, tags: str) -> DataFrame:
+    """(key, tags): the tags of all copies of a record, each once, sorted."""
+    single = rows.select(key, F.explode(tags).alias("t")).where("t IS NOT NULL").distinct()
+    return single.groupBy(key).agg(F.array_sort(F.collect_list("t")).alias(tags))
+
+
+def without_shared_ranks(ranked: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """``best_rank`` rows; reading a page on which two addresses share a rank raises."""
+    told = F.concat_ws(" ", F.lit("two results share rank"), F.col(rank).cast("string"), F.lit("of"), *[F.col(k).cast("string") for k in keys])
+    return ranked.where(F.when(~F.col("tied"), True).otherwise(F.raise_error(told).cast("boolean"))).drop("tied")
+
+
 def best_rank(rows: DataFrame, keys: list[str], url: str, rank: str) -> DataFrame:
     """Best rank of each url within the keys, with ``tied``: another url has that rank."""
     best = rows.where(F.col(url).isNotNull()).groupBy(*keys, url).agg(F.min(rank).alias(rank))

@@ -77,3 +77,18 @@ def attention(posts: DataFrame, group: str, score: str, comments: str) -> DataFr
 
 def first_k(rows: DataFrame, group: str, order: list[Column], keep: int) -> DataFrame:
     return rows.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("at") <= keep)
+
+
+def distribution(rows: DataFrame, group: list[str], by: Column, name: str) -> DataFrame:
+    """(group, name, records, share): how the rows of each group spread over a value; rows without
+    the value count in no share."""
+    counted = rows.select(*group, by.alias(name)).where(F.col(name).isNotNull()).groupBy(*group, name).agg(F.count("*").alias("records"))
+    return counted.withColumn("share", F.col("records") / F.sum("records").over(Window.partitionBy(*group)))
+
+
+def daily_completeness(rows: DataFrame, series: list[str], day: str, views: Column) -> DataFrame:
+    """(series, views, days, expected, complete) of daily counts: whether every day from the first
+    to the last has a row.  A missing day is unknown and never zero."""
+    daily = rows.groupBy(*series, day).agg(views.alias("views"))
+    out = daily.groupBy(*series).agg(F.sum("views").alias("views"), F.count("*").alias("days"), (F.date_diff(F.max(day), F.min(day)) + 1).cast("bigint").alias("expected"))
+    return out.withColumn("complete", F.col("days") == F.col("expected"))

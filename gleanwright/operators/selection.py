@@ -115,6 +115,15 @@ def copy_issues(planned: DataFrame, published: DataFrame, tag: str) -> DataFrame
     return both.select(tag, issue.alias("issue")).where("issue IS NOT NULL")
 
 
+def copy_audit(planned: DataFrame, published: DataFrame, tag: str, ceiling: int, expires: Column, on: Column) -> DataFrame:
+    """(tag, issue): ``copy_issues``, and with a null tag ``over-ceiling`` if the copy has more tags
+    than its platform takes, and ``plan-expired`` if it is published after the plan's last day."""
+    tags = published.agg(F.when(F.count("*") > ceiling, F.lit("over-ceiling")).alias("issue"))
+    late = published.agg(F.when(on > expires, F.lit("plan-expired")).alias("issue"))
+    whole = tags.unionAll(late).where("issue IS NOT NULL").select(F.lit(None).cast(dict(planned.dtypes)[tag]).alias(tag), "issue")
+    return copy_issues(planned, published, tag).unionAll(whole)
+
+
 def discovered(records: DataFrame, key: str, tags: str, order: str) -> DataFrame:
     """(tag, records, display): record counts and the first seen spelling of each tag."""
     seen = records.select(key, order, F.posexplode(tags).alias("tag_place", "spelling")).withColumn("tag", F.lower("spelling"))

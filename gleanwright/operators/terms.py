@@ -135,6 +135,12 @@ def hashtags(text: Column, variant: str = "plain") -> Column:
     return F.transform(found, lambda x: F.concat(F.lit("#"), x))
 
 
+def with_tag(rows: DataFrame, text: str, tag: str, variant: str = "plain") -> DataFrame:
+    """The rows whose text holds exactly this hashtag (``#`` or not), without regard to case."""
+    wanted = "#" + unicodedata.normalize("NFC", tag.strip().lstrip("#")).casefold()
+    return rows.where(F.array_contains(hashtags(folded(F.col(text)), variant), wanted))
+
+
 def tag_frequency(documents: DataFrame, key: str, text: str, variant: str = "plain") -> DataFrame:
     """(tag, occurrences, records)."""
     return counted_by_key(documents.select(key, F.explode(hashtags(folded(F.col(text)), variant)).alias("tag")), key, ["tag"])

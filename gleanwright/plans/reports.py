@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanwright.functions.text import normal
 from gleanwright.operators import compare, embeddings, event_cycles, evidence, intervals, monitor, samples, search, selection, trends
 from gleanwright.session import table
 
@@ -148,24 +149,25 @@ SELECT phrase, CASE WHEN min(v) = max(v) THEN min(v) END AS value FROM t WHERE p
 
 
 def keyword_gap(spark: SparkSession, folder: str) -> DataFrame:
-    norm = lambda t: table(spark, folder, t).where("phrase IS NOT NULL").select(F.lower(F.trim("phrase")).alias("identity")).distinct()
+    norm = lambda t: table(spark, folder, t).where("phrase IS NOT NULL").select(normal("phrase").alias("identity")).distinct()
     return evidence.gap(norm("observations_after"), norm("observed_evidence"), "identity")
 
 
-SQL["keyword_gap"] = "SELECT lower(trim(phrase)) AS identity FROM observed_evidence WHERE phrase IS NOT NULL EXCEPT SELECT lower(trim(phrase)) FROM observations_after WHERE phrase IS NOT NULL"
+FOLDED = "replace(replace(replace(lower(nfc_normalize(trim(phrase))), 'ß', 'ss'), 'ſ', 's'), 'ς', 'σ')"
+SQL["keyword_gap"] = f"SELECT {FOLDED} AS identity FROM observed_evidence WHERE phrase IS NOT NULL EXCEPT SELECT {FOLDED} FROM observations_after WHERE phrase IS NOT NULL"
 
 
 def evidence_merged(spark: SparkSession, folder: str) -> DataFrame:
     a = table(spark, folder, "observed_evidence").select("phrase", "source", "metric", "unit", "value", F.col("evidence_id").alias("ord"), F.lit(1).alias("side"))
     b = table(spark, folder, "observations_after").select("phrase", "source", "metric", "unit", F.col("value").cast("bigint").cast("string").alias("value"), F.col("obs_id").alias("ord"), F.lit(2).alias("side"))
     both = evidence.union(a, b).where("phrase IS NOT NULL")
-    found = evidence.merged(both, F.lower(F.trim("phrase")), F.struct("side", "ord", "phrase"))
+    found = evidence.merged(both, normal("phrase"), F.struct("side", "ord", "phrase"))
     return found
 
 
-SQL["evidence_merged"] = """
+SQL["evidence_merged"] = f"""
 WITH t AS (SELECT phrase, source, metric, unit, value, evidence_id AS ord, 1 AS side FROM observed_evidence UNION ALL SELECT phrase, source, metric, unit, trunc(value)::BIGINT::VARCHAR, obs_id, 2 FROM observations_after)
-SELECT lower(trim(phrase)) AS identity, arg_min(phrase, row(side, ord, phrase)) AS phrase, count(DISTINCT source) AS sources, count(DISTINCT row(source, metric, unit, value)) AS pieces FROM t WHERE phrase IS NOT NULL GROUP BY 1"""
+SELECT {FOLDED} AS identity, arg_min(phrase, row(side, ord, phrase)) AS phrase, count(DISTINCT source) AS sources, count(DISTINCT row(source, metric, unit, value)) AS pieces FROM t WHERE phrase IS NOT NULL GROUP BY 1"""
 
 
 # --- search performance
@@ -280,9 +282,8 @@ SQL["event_recency"] = "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE t
 
 def view_completeness(spark: SparkSession, folder: str) -> DataFrame:
     """Daily series per user and type: sum, days returned and expected, complete or not."""
-    daily = table(spark, folder, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("views"))
-    out = daily.groupBy("user_id", "event_type").agg(F.sum("views").alias("views"), F.count("*").alias("days"), (F.date_diff(F.max("day"), F.min("day")) + 1).cast("bigint").alias("expected"))
-    return out.withColumn("complete", F.col("days") == F.col("expected"))
+    events = table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    return samples.daily_completeness(events, ["user_id", "event_type"], "day", F.count("*"))
 
 
 SQL["view_completeness"] = """
@@ -412,7 +413,25 @@ SQL["monitor_evidence_counts"] = _COMMON + " SELECT watch_id, 'platform_search_i
 
 def monitor_alerts(spark: SparkSession, folder: str) -> DataFrame:
     ok = _observations(spark, folder).where("problem IS NULL")
-    return _rounded(monitor.alerts(_watches(spark, folder), ok, F.lit(MONITOR_NOW).cast("timestamp")), "percent")
+    found = monitor.alerts(_watches(spark, folder), ok, F.lit(MONITOR_NOW).cast("timestamp"))
+    return _rounded(found.select("watch_id", "reason", "before", "after", "delta", "percent"), "delta", "percent")
+
+
+_KEY = "watch_id, p, s, sc, me, u, g"
+SQL["monitor_alerts"] = (
+    _COMMON
+    + f""",
+k AS (SELECT watch_id, lower(trim(phrase)) AS p, lower(trim(source)) AS s, lower(trim(coalesce(scope, 'unspecified'))) AS sc, lower(trim(metric)) AS me, lower(trim(coalesce(unit, 'unspecified'))) AS u, lower(trim(coalesce(geography, 'unspecified'))) AS g, t,
+  any_value(value) AS value, any_value(period_start) AS ps, any_value(period_end) AS pe, min({_SIGNATURE}) <> max({_SIGNATURE}) AS clash FROM m GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS n, bool_or(clash) OVER (PARTITION BY {_KEY}) AS clashes, first_value({{'v': value, 'ps': ps, 'pe': pe}}) OVER w AS a FROM k WINDOW w AS (PARTITION BY {_KEY} ORDER BY t DESC)),
+j AS (SELECT *, CASE WHEN value IS NULL THEN 'unavailable-or-failed' WHEN 'unspecified' IN (sc, u, g) THEN 'missing-comparison-context' WHEN a.v IS NULL THEN 'unavailable-or-failed' WHEN (ps IS NULL) <> (a.ps IS NULL) THEN 'reporting-period-missing'
+  WHEN pe >= a.ps THEN 'reporting-periods-overlap-or-are-revisions' WHEN pe - ps <> a.pe - a.ps THEN 'reporting-period-length-changed' END AS why FROM r),
+c AS (SELECT {_KEY}, any_value(a.v) AS after, max(n) AS rows, bool_or(clashes) AS clashes, max(why) FILTER (WHERE n = 2) AS second_why, max(value) FILTER (WHERE n = 2) AS second, min(n) FILTER (WHERE n > 1 AND why IS NULL) AS older_n, arg_min(value, n) FILTER (WHERE n > 1 AND why IS NULL) AS older FROM j GROUP BY ALL),
+f AS (SELECT watch_id, after, CASE WHEN second_why = 'reporting-periods-overlap-or-are-revisions' AND older_n IS NOT NULL THEN older ELSE second END AS before,
+  CASE WHEN clashes THEN 'conflicting-capture-timestamps' WHEN rows < 2 THEN 'needs-two-observations' WHEN second_why = 'reporting-periods-overlap-or-are-revisions' AND older_n IS NOT NULL THEN NULL ELSE second_why END AS reason FROM c)
+SELECT watch_id, reason, before, after, CASE WHEN reason IS NULL THEN round(after - before, 6) END AS delta, CASE WHEN reason IS NULL AND before <> 0 THEN round((after - before) * 100.0 / abs(before), 6) END AS percent
+FROM f WHERE reason IS NOT NULL OR abs(after - before) >= 1"""
+)
 
 
 def monitor_due(spark: SparkSession, folder: str) -> DataFrame:
@@ -493,6 +512,21 @@ c AS (SELECT tag, priority FROM k WHERE ro <= 5), l AS (SELECT CASE WHEN count(*
 SELECT f.tag, role, f.priority, coalesce(reason, CASE WHEN c.tag IS NULL THEN CASE WHEN row(f.priority, f.tag) > (SELECT last FROM l) THEN 'editorial_ceiling' ELSE 'role_cap' END END) AS reason FROM f LEFT JOIN c USING (tag)"""
 
 
+def copy_audits(spark: SparkSession, folder: str) -> DataFrame:
+    """Tags of the first customers' market segments as planned, with those of all as published."""
+    tag = F.concat(F.lit("#"), F.lower("c_mktsegment")).alias("tag")
+    customers = table(spark, folder, "customer")
+    planned = customers.where("c_nationkey < 12").select(tag).distinct()
+    published = customers.select("c_nationkey", tag).distinct().where("c_nationkey IN (3, 20)").select("tag")
+    return selection.copy_audit(planned, published, "tag", 5, F.lit("2024-01-10").cast("date"), F.lit("2024-01-12").cast("date"))
+
+
+SQL["copy_audits"] = """
+WITH p AS (SELECT DISTINCT '#' || lower(c_mktsegment) AS tag FROM customer WHERE c_nationkey < 12), q AS (SELECT tag, count(*) AS n FROM (SELECT DISTINCT c_nationkey, '#' || lower(c_mktsegment) AS tag FROM customer WHERE c_nationkey IN (3, 20)) GROUP BY tag)
+SELECT coalesce(p.tag, q.tag) AS tag, CASE WHEN q.tag IS NULL THEN 'missing' WHEN p.tag IS NULL THEN 'unplanned' ELSE 'repeated' END AS issue FROM p FULL JOIN q ON p.tag = q.tag WHERE q.tag IS NULL OR p.tag IS NULL OR q.n > 1
+UNION ALL SELECT NULL, 'over-ceiling' WHERE (SELECT sum(n) FROM q) > 5 UNION ALL SELECT NULL, 'plan-expired'"""
+
+
 # --- event timing
 
 
@@ -543,6 +577,14 @@ def event_holdouts(spark: SparkSession, folder: str) -> DataFrame:
     return event_cycles.holdouts(event_cycles.independent(_cycles(spark, folder), ["phrase"], 8), ["phrase"])
 
 
+SQL["event_holdouts"] = (
+    _BINS
+    + """,
+k AS (SELECT phrase, event_date, lo FROM p WHERE value = peak AND value > 0), c AS (SELECT phrase, event_date, min(lo) AS lo, max(lo) AS hi FROM k GROUP BY ALL),
+t AS (SELECT *, (row_number() OVER w - 1)::INT AS training, min(lo) OVER past AS a, max(hi) OVER past AS b FROM c WINDOW w AS (PARTITION BY phrase ORDER BY event_date), past AS (PARTITION BY phrase ORDER BY event_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT phrase, event_date, training, CASE WHEN b - a < 14 THEN a END AS predicted_lo, CASE WHEN b - a < 14 THEN b END AS predicted_hi, CASE WHEN b - a < 14 THEN EXISTS (SELECT 1 FROM k WHERE k.phrase = t.phrase AND k.event_date = t.event_date AND k.lo BETWEEN a AND b) END AS hit FROM t WHERE training >= 2"""
+)
+
 # --- embeddings
 
 
@@ -612,6 +654,6 @@ SELECT l_suppkey, 'period' AS kind, s AS start_date, e AS end_date FROM p UNION
 QUERIES = [
     compare_observations, compare_inner_orders, compare_performance, compare_rankings, ranking_overlap, copies_missing, report_evidence, evidence_order, keyword_gap, evidence_merged,
     search_opportunities, query_page_overlap, bulk_weighted_position, serp_competition, supplier_share_of_top, page_phrase_coverage, trend_summary, event_recency, view_completeness, quota_ledger,
-    monitor_rejects, monitor_latest, monitor_conflicts, watch_matches, monitor_coverage, monitor_coverage_counts, monitor_evidence_counts, monitor_alerts, monitor_due, snapshot_integrity, shortlist_capped, focus_reasons, hashtag_plan,
+    monitor_rejects, monitor_latest, monitor_conflicts, watch_matches, monitor_coverage, monitor_coverage_counts, monitor_evidence_counts, monitor_alerts, monitor_due, snapshot_integrity, shortlist_capped, focus_reasons, hashtag_plan, copy_audits,
     event_cycle_alignment, event_majority_intervals, event_holdouts, embedding_top_k, embedding_centroids, embedding_mmr, embedding_max_sum, tree_depths, covered_bins,
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanwright.functions.counts import display_count, is_censored, measured
-from gleanwright.functions.text import words
+from gleanwright.functions.text import normal, words
 from gleanwright.functions.urls import host, normal_url
 from gleanwright.operators import dedup, samples, selection, terms
 from gleanwright.session import partitioned, spread, table
@@ -166,6 +166,48 @@ SQL["attention_competition"] = """
 SELECT subreddit, count(*) AS posts, median(score) AS median_score, median(num_comments) AS median_comments, round(count(*) / (SELECT count(*) FROM posts), 9) AS share FROM posts GROUP BY subreddit"""
 
 
+def community_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How each flair's posts spread over communities."""
+    found = samples.distribution(table(spark, folder, "posts").where("flair IS NOT NULL"), ["flair"], F.col("subreddit"), "community")
+    return found.withColumn("share", F.round("share", 9))
+
+
+SQL["community_shares"] = """
+WITH c AS (SELECT flair, subreddit AS community, count(*) AS records FROM posts WHERE flair IS NOT NULL AND subreddit IS NOT NULL GROUP BY ALL) SELECT *, round(records / sum(records) OVER (PARTITION BY flair), 9) AS share FROM c"""
+
+
+def duration_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Durations and music of the videos of each content type."""
+    rows = table(spark, folder, "videos")
+    found = rows.groupBy("content_type").agg(F.count("*").alias("records"), *samples.counter_stats(["duration"]), F.min("duration").alias("shortest"), F.max("duration").alias("longest"), F.count_distinct("music_id").alias("sounds"))
+    return found.select(*[F.round(c, 4).alias(c) if c.startswith("sample_duration_") and c != "sample_duration_available" else F.col(c) for c in found.columns])
+
+
+SQL["duration_stats"] = """
+SELECT content_type, count(*) AS records, count(duration) AS sample_duration_available, round(sum(duration), 4) AS sample_duration_sum, round(avg(duration), 4) AS sample_duration_mean, round(median(duration), 4) AS sample_duration_median, min(duration) AS shortest, max(duration) AS longest, count(DISTINCT music_id) AS sounds FROM videos GROUP BY content_type"""
+
+
+def tagged_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """Captions that hold the hashtag most videos have, as an exact tag."""
+    videos = table(spark, folder, "videos").select("id", "captured_at", "caption")
+    best = terms.tag_frequency(videos, "id", "caption").orderBy(F.col("records").desc(), "tag").first()
+    return terms.with_tag(videos, "caption", best.tag if best else "#").groupBy("id").agg(F.count("*").alias("copies"))
+
+
+SQL["tagged_captions"] = rf"""
+WITH t AS (SELECT id, caption, regexp_extract_all({FOLD.replace("text", "caption")}, '(^|[^\p{{L}}\p{{N}}_#])#([\p{{L}}\p{{M}}\p{{N}}_]{{1,100}})', 2) AS tags FROM videos),
+b AS (SELECT tag FROM (SELECT id, unnest(tags) AS tag FROM t) GROUP BY tag ORDER BY count(DISTINCT id) DESC, tag LIMIT 1)
+SELECT id, count(*) AS copies FROM t WHERE list_contains(tags, (SELECT tag FROM b)) GROUP BY id"""
+
+
+def merged_video_tags(spark: SparkSession, folder: str) -> DataFrame:
+    """The tags of all deliveries of a video together."""
+    return dedup.merged_tags(table(spark, folder, "videos"), "id", "tags").select("id", F.array_join("tags", "|").alias("tags"))
+
+
+SQL["merged_video_tags"] = "SELECT id, string_agg(t, '|' ORDER BY t) AS tags FROM (SELECT DISTINCT id, unnest(tags) AS t FROM videos) WHERE t IS NOT NULL GROUP BY id"
+
+
 def dedup_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "posts")
     found = dedup.keep_first(rows, "id", ["captured_at", "score", "num_comments"], ["score", "num_comments", "upvote_ratio"])
@@ -225,11 +267,11 @@ FROM r JOIN n x ON x.tag = term JOIN n y ON y.tag = other WHERE place <= 20"""
 
 def casefold_distinct(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "observed_evidence").where("phrase IS NOT NULL")
-    return dedup.ordered_distinct(rows, F.lower(F.trim("phrase")), F.struct("evidence_id", "phrase"), "phrase")
+    return dedup.ordered_distinct(rows, normal("phrase"), F.struct("evidence_id", "phrase"), "phrase")
 
 
-SQL["casefold_distinct"] = """
-SELECT lower(trim(phrase)) AS identity, arg_min(phrase, row(evidence_id, phrase)) AS first_spelling, count(*) AS rows FROM observed_evidence WHERE phrase IS NOT NULL GROUP BY 1"""
+SQL["casefold_distinct"] = f"""
+SELECT {FOLD.replace("text", "trim(phrase)")} AS identity, arg_min(phrase, row(evidence_id, phrase)) AS first_spelling, count(*) AS rows FROM observed_evidence WHERE phrase IS NOT NULL GROUP BY 1"""
 
 
 def evidence_values(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,5 +340,5 @@ SELECT phrase, locations, round(raw, 6) AS raw, round(raw / (SELECT max(raw) FRO
 
 QUERIES = [
     term_sample_stats, term_counts_local, literal_ngrams_topk, hashtag_docfreq, caption_docfreq, post_term_counts, phrase_places, sample_stats_tags, sample_stats_media,
-    attention_competition, dedup_conflicts, dedup_first_nonnull, dedup_removed, serp_best_rank, cooccurrence_tags, casefold_distinct, evidence_values, tags_discovered, url_hosts, sample_phrases, tag_salience,
+    attention_competition, community_shares, duration_stats, tagged_captions, merged_video_tags, dedup_conflicts, dedup_first_nonnull, dedup_removed, serp_best_rank, cooccurrence_tags, casefold_distinct, evidence_values, tags_discovered, url_hosts, sample_phrases, tag_salience,
 ]

@@ -14,9 +14,20 @@ from pyspark.sql import types as T
 SUFFIXES = ("txt", "md", "lrc", "csv")  # fixed values
 
 
+def bounded(documents: DataFrame, text: str, max_characters: int | None = None, max_documents: int | None = None) -> DataFrame:
+    """The documents; reading them raises if all together hold more than ``max_characters`` or if
+    they are more than ``max_documents``."""
+    size = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("c"))
+    over = F.lit(False)
+    for bound, column in ((max_documents, "n"), (max_characters, "c")):
+        if bound is not None:
+            over = over | (size.select(column).scalar() > bound)
+    return documents.where(F.when(~over, True).otherwise(F.raise_error(F.lit("the texts are over their bound")).cast("boolean")))
+
+
 def text_files(spark: SparkSession, *paths: str, max_characters: int | None = None) -> DataFrame:
     """(source, text): one row per file of a known suffix, without byte-order mark.  A file over
-    ``max_characters`` raises when read; nothing is cut."""
+    ``max_characters`` raises when read; nothing is cut.  ``bounded`` bounds them together."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").text(list(paths), wholetext=True)
     text = F.regexp_replace("value", "^﻿", "")
     if max_characters is not None:
