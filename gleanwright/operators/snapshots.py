@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanwright.session import checkpointed
+from gleanwright.session import checkpointed, small
 
 CHUNK = 1 << 16
 ARRAY_LIMIT = 4096
@@ -82,9 +82,6 @@ class Bitmap:
         return self._with(other, keep=True)
 
 
-BROADCAST_SNAPSHOTS = 100_000  # rows of a list of snapshots (about 100 bytes each) that every task may hold
-
-
 def snapshot_list(rows: DataFrame, stream: list[str], observed: str, delivered: str, block_rows: int) -> DataFrame:
     """(stream, observed_on, delivered, at, next_on, blocks): the snapshots of each stream in
     order, with the time of the latest delivery and the number of blocks for the stream's rows."""
@@ -98,8 +95,7 @@ def snapshot_changes(rows: DataFrame, stream: list[str], observed: str, delivere
     """(stream, observed_on DATE, item, change_kind added | removed | changed).
 
     ``values``: an aggregate for each compared column, over the rows of one key in a snapshot.
-    The list of snapshots goes to every task if it has at most ``BROADCAST_SNAPSHOTS`` rows;
-    a longer one is joined by shuffle."""
+    The list of snapshots goes to every task if it is small; a longer one is joined by shuffle."""
     inner = [f"__s{k}" for k in range(len(stream))]  # whatever the columns are called
     rows = rows.withColumns({i: F.col(c) for i, c in zip(inner, stream, strict=True)})
     snapshots = checkpointed(snapshot_list(rows, inner, observed, delivered, block_rows))
@@ -108,9 +104,8 @@ def snapshot_changes(rows: DataFrame, stream: list[str], observed: str, delivere
     on = F.col(delivered).eqNullSafe(F.col("__delivered")) & (F.col(observed) == F.col("__observed_on"))
     for c in inner:
         on = on & (F.col(c) == F.col(marks[c]))
-    known = F.broadcast(placed) if snapshots.count() <= BROADCAST_SNAPSHOTS else placed
     # Rows without a key go on to the tasks: a filter would compute every key once more.
-    current = rows.join(known, on).withColumn("__block", F.expr(f"int(pmod(xxhash64(`{item}`), greatest(__blocks, 1)))"))
+    current = rows.join(small(placed), on).withColumn("__block", F.expr(f"int(pmod(xxhash64(`{item}`), greatest(__blocks, 1)))"))
     # Repeated rows of a key are summed up before the shuffle, then blocks are brought together.
     place = [*[F.col(c) for c in inner], *[F.col(f"__{c}").alias(c) for c in ("block", "at", "observed_on", "next_on")], F.col(item).alias("item")]
     summed = current.groupBy(*place).agg(*[v.alias(k) for k, v in values.items()])

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanwright.session import checkpointed, small
+
 # Minutes east of UTC of zone names.
 ZONE_MINUTES = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120, "EEST": 180, "MSK": 180,
@@ -165,7 +167,7 @@ def zone_scores(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 
         return _once(F.struct(instant(naive, zone).alias("at")), verdict)
 
-    tried = rows.select("feed", "parsed", F.unix_micros("captured_at").alias("captured")).join(F.broadcast(candidates), "feed")
+    tried = rows.select("feed", "parsed", F.unix_micros("captured_at").alias("captured")).join(small(candidates), "feed")
     seen = tried.select("feed", "zone", _once(F.struct("parsed", "zone", "captured"), judged).alias("v"))
     return seen.groupBy("feed", "zone").agg(
         F.count_if("v.wrong").alias("violations"), F.coalesce(F.sum("v.late"), F.lit(0.0)).alias("delay"), F.count("v.wrong").alias("evidence")
@@ -190,7 +192,7 @@ def all_zones(feeds: DataFrame) -> DataFrame:
 def parsed_rows(rows: DataFrame, feeds: DataFrame) -> DataFrame:
     """(id, feed, captured_at, parsed) of rows (id, written, feed, captured_at)."""
     order = feeds.where("feed IS NOT NULL").groupBy("feed").agg(F.max("date_order").alias("date_order"))
-    placed = rows.where("written IS NOT NULL").join(F.broadcast(order), "feed", "left")
+    placed = rows.where("written IS NOT NULL").join(small(order), "feed", "left")
     return placed.select("id", "feed", "captured_at", parsed_time(F.col("written"), F.col("date_order")).alias("parsed"))
 
 
@@ -200,6 +202,6 @@ def normalised(rows: DataFrame, feeds: DataFrame) -> DataFrame:
     rows: (id, written, feed, captured_at); feeds: (feed, tz, date_order).  Deliveries of a
     record that differ give the earliest instant."""
     parsed = parsed_rows(rows, feeds)
-    zones = chosen_zones(parsed, candidate_zones(feeds))
-    at = parsed.join(F.broadcast(zones), "feed", "left").select("id", instant(F.col("parsed"), F.col("zone")).alias("utc_micros"))
+    zones = checkpointed(chosen_zones(parsed, candidate_zones(feeds)))  # counted, then joined
+    at = parsed.join(small(zones), "feed", "left").select("id", instant(F.col("parsed"), F.col("zone")).alias("utc_micros"))
     return at.groupBy("id").agg(F.min("utc_micros").alias("utc_micros")).where("id IS NOT NULL AND utc_micros IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,3 +58,12 @@ def partitioned(df: DataFrame, *keys: str) -> DataFrame:
     """The rows by key in as many partitions as the session sets for shuffles, none of which is
     joined with another for being small: costly work per row follows."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+SMALL_ROWS = 100_000  # rows of about 100 bytes that every task may hold
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Marked to be sent to every task if it has at most ``rows`` rows, which are counted first;
+    a longer one is left to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

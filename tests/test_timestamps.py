@@ -63,3 +63,17 @@ def test_empty_and_repeated(spark, rows):
     assert rows(t.normalised(spark.createDataFrame(data, schema), feeds)) == [("a", 1714557600000000)]
     clash = spark.createDataFrame([("a", "1714557600", "b", None, 1, "x")], schema + ", parsed int, zone string")
     assert rows(t.normalised(clash, feeds).select(F.col("utc_micros"))) == [(1714557600000000,)]
+
+
+def test_zones_told_from_the_rows_alone(spark):
+    """The estimate, blind to the declared zones, finds every one of them."""
+    import os
+
+    from gleanwright.plans import core
+    from gleanwright.session import table
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        return
+    declared = {r.feed: r.tz for r in table(spark, folder, "feeds").collect()}
+    assert {r.feed: r.zone for r in core.p4_zones(spark, folder).collect()} == declared
